@@ -27,6 +27,7 @@ from barley.functions import finite
 from barley.operators.recursive import ema_columns
 from barley.operators.registry import lookup
 from barley.operators.spec import BAR, ID, TS, Slice, Track
+from barley.session import cut_lineage
 
 BLOCK_BARS = 4096
 BLOCK = "_block"
@@ -200,8 +201,14 @@ class FactorSet:
             out[name] = board.name(name, board._term(factor(board)))
         return out
 
-    def evaluate(self, panel: DataFrame, block_bars: int = BLOCK_BARS, keep: tuple[str, ...] = ()) -> DataFrame:
-        """The panel's keys and one column per factor. ``panel`` is dense, with a ``bar`` number."""
+    def evaluate(self, panel: DataFrame, block_bars: int = BLOCK_BARS, keep: tuple[str, ...] = (),
+                 cut: bool | None = None) -> DataFrame:
+        """The panel's keys and one column per factor. ``panel`` is dense, with a ``bar`` number.
+
+        With ``cut`` the table is written to the checkpoint folder between passes. That bounds what a lost
+        executor costs, and keeps the plans of many-pass sets small. By default sets of three and more
+        passes, or with a pass that reads its input twice, are cut.
+        """
         board = Board([c for c in panel.columns if c not in (ID, TS, BAR)])
         out = self.build(board)
         steps = board.ordered(out.values())
@@ -209,12 +216,17 @@ class FactorSet:
         wanted = frozenset(keep).union(*(t.needs for t in out.values()))
         df = panel
         turns = sorted({s.turn for s in steps})
+        twice = [t for t in turns if PASSES[t % len(PASSES)] in ("smooth", "total")]
+        if cut is None:
+            cut = len(turns) >= 3 or bool(twice)
         for at, turn in enumerate(turns):
             here = [s for s in steps if s.turn == turn]
             later = [s for s in steps if s.turn > turn]
             live = wanted.union(*(s.needs for s in later)) if later else wanted
             reads = live.union(*(s.needs for s in here))
             df = df.select(*keys, *[c for c in df.columns if c in reads and c not in keys])
+            if cut and (at or turn in twice):
+                df = cut_lineage(df)
             df = _run(df, here, PASSES[turn % len(PASSES)], block_bars)
             df = df.select(*keys, *[c for c in df.columns if c in live and c not in keys])
         return df.select(*keys, *[F.col(c) for c in keep], *[finite(t.expr).alias(n) for n, t in out.items()])
@@ -239,10 +251,14 @@ def _run(df: DataFrame, steps: list[Step], kind: str, block_bars: int) -> DataFr
         sums = inputs.groupBy(ID).agg(*[F.sum(F.abs(F.col(f"{s.name}x"))).alias(f"{s.name}t") for s in steps])
         return inputs.join(sums, ID).withColumns(
             {s.name: lookup(s.op).build(F.col(f"{s.name}x"), F.col(f"{s.name}t"), *s.params) for s in steps})
-    on: object = Slice((TS,))
+    # Windows cost computing time, not bytes. The number of tasks is therefore the session's own
+    # ``spark.sql.shuffle.partitions``; partitions are not merged by their size in bytes.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if kind == "rolling":
-        df = in_blocks(df, max(s.back for s in steps), block_bars)
-        on = Track((ID, BLOCK), BAR)
+        df = in_blocks(df, max(s.back for s in steps), block_bars).repartition(tasks, ID, BLOCK)
+        on: Track | Slice = Track((ID, BLOCK), BAR)
+    else:
+        df, on = df.repartition(tasks, TS), Slice((TS,))
     for depth in sorted({s.depth for s in steps}):
         df = df.withColumns({s.name: lookup(s.op).build(*[t.expr for t in s.args], *s.params, on=on)
                              for s in steps if s.depth == depth})
