@@ -32,6 +32,9 @@ from barley.session import cut_lineage
 BLOCK_BARS = 4096
 BLOCK = "_block"
 PASSES = ("rolling", "smooth", "slice", "total")
+RANKS = ("cs_rank", "rank")
+#: from this many ranks in a pass they are computed in long form (one sort of narrow rows instead of many of wide ones)
+MANY_RANKS = 4
 
 
 @dataclass(frozen=True)
@@ -216,7 +219,8 @@ class FactorSet:
         wanted = frozenset(keep).union(*(t.needs for t in out.values()))
         df = panel
         turns = sorted({s.turn for s in steps})
-        twice = [t for t in turns if PASSES[t % len(PASSES)] in ("smooth", "total")]
+        twice = [t for t in turns if PASSES[t % len(PASSES)] in ("smooth", "total")
+                 or sum(s.turn == t and s.op in RANKS for s in steps) >= MANY_RANKS]
         if cut is None:
             cut = len(turns) >= 3 or bool(twice)
         for at, turn in enumerate(turns):
@@ -241,6 +245,16 @@ def melt(wide: DataFrame, names: list[str], keys: tuple[str, ...] = (TS, ID)) ->
     return wide.unpivot(list(keys), names, "factor", "value").where(F.col("value").isNotNull())
 
 
+def _ranked_together(df: DataFrame, ranks: list[Step], tasks: int) -> DataFrame:
+    """All ranks of one depth: unroll their inputs, rank within (time, input), and roll up again."""
+    inputs = F.array(*[s.args[0].expr.cast("double") for s in ranks])
+    cells = df.select(TS, ID, F.posexplode(inputs).alias("_k", "_x")).repartition(tasks, TS, "_k")
+    placed = cells.select(TS, ID, "_k", lookup("cs_rank").build(F.col("_x"), on=Slice((TS, "_k"))).alias("_r"))
+    rolled = placed.groupBy(TS, ID).agg(*[F.max(F.when(F.col("_k") == i, F.col("_r"))).alias(s.name)
+                                          for i, s in enumerate(ranks)])
+    return df.join(rolled, [TS, ID])
+
+
 def _run(df: DataFrame, steps: list[Step], kind: str, block_bars: int) -> DataFrame:
     if kind == "smooth":
         inputs = {f"{s.name}x": s.args[0].expr for s in steps}
@@ -260,6 +274,11 @@ def _run(df: DataFrame, steps: list[Step], kind: str, block_bars: int) -> DataFr
     else:
         df, on = df.repartition(tasks, TS), Slice((TS,))
     for depth in sorted({s.depth for s in steps}):
-        df = df.withColumns({s.name: lookup(s.op).build(*[t.expr for t in s.args], *s.params, on=on)
-                             for s in steps if s.depth == depth})
+        here = [s for s in steps if s.depth == depth]
+        ranks = [s for s in here if s.op in RANKS]
+        if len(ranks) >= MANY_RANKS:
+            df = _ranked_together(df, ranks, tasks)
+            here = [s for s in here if s.op not in RANKS]
+        if here:
+            df = df.withColumns({s.name: lookup(s.op).build(*[t.expr for t in s.args], *s.params, on=on) for s in here})
     return at_home(df, block_bars) if kind == "rolling" else df
