@@ -27,15 +27,20 @@ def local_session(cpus: int = 8, app: str = "barley", **extra: str) -> SparkSess
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Only where none is set (tests, a laptop) a temporary one is made."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where none is set (tests, a laptop) a
-    temporary one is made. Reliable checkpoints survive the loss of executors; local ones would not.
+    Reliable checkpoints survive the loss of executors; local ones would not.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
