@@ -21,7 +21,7 @@ def raw(spark, sf):
     vol = F.col("volume").cast("bigint")
     b = b.withColumn("high", F.when(vol % 11 == 0, F.col("low") - 1).otherwise(F.col("high")))
     b = b.withColumn("open", F.when(vol % 13 == 0, -F.col("open")).otherwise(F.col("open")))
-    b = b.withColumn("seq", F.when(vol % 17 == 0, F.col("seq") - 58 + 2).otherwise(F.col("seq")))
+    b = b.withColumn("seq", F.when(vol % 17 == 0, F.col("seq") - 58).otherwise(F.col("seq")))
     again = b.where(vol % 7 == 0).withColumn("seq", F.col("seq") + 1).withColumn("close", F.col("close") * 2)
     return b.unionByName(again)
 
@@ -30,7 +30,7 @@ RAW_SQL = f"""WITH {bars_sql()},
 b0 AS (SELECT *, (datediff('day', DATE '1990-01-01', ts::DATE) * 4)::BIGINT AS seq, volume::BIGINT AS vol FROM bars),
 b1 AS (SELECT instrument_id, ts, CASE WHEN vol % 13 = 0 THEN -"open" ELSE "open" END AS "open",
   CASE WHEN vol % 11 = 0 THEN low - 1 ELSE high END AS high, low, "close", volume, quote_volume,
-  CASE WHEN vol % 17 = 0 THEN seq - 56 ELSE seq END AS seq FROM b0),
+  CASE WHEN vol % 17 = 0 THEN seq - 58 ELSE seq END AS seq FROM b0),
 raw AS (SELECT * FROM b1 UNION ALL SELECT instrument_id, ts, "open", high, low, "close" * 2, volume, quote_volume, seq + 1
   FROM b1 WHERE volume::BIGINT % 7 = 0)"""
 
@@ -146,7 +146,7 @@ def csv_bars(spark, sf):
     out.write.partitionBy("symbol", "timeframe").option("header", True).csv(folder)
     raw_rows = io.read_bar_csv(spark, folder)
     raw_rows = raw_rows.withColumn("symbol", F.regexp_replace("symbol", "^symbol=", ""))
-    io.bars_to_catalog(raw_rows, catalog, price_digits=8)
+    io.bars_to_catalog(raw_rows, catalog, price_digits=11)
     return spark.read.parquet(catalog).select(ID, F.col(TS).cast("timestamp_ntz").alias(TS),
                                             *[r(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
