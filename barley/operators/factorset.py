@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from barley.functions import finite
 from barley.operators.recursive import ema_columns
-from barley.operators.registry import lookup
+from barley.operators.registry import OPERATORS, lookup
 from barley.operators.spec import BAR, ID, TS, Slice, Track
 from barley.session import cut_lineage
 
@@ -110,7 +110,8 @@ class Board:
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
-        if name in self.named:
+        # operators win over factors of the same name; those are still in ``named``
+        if name in self.named and name not in OPERATORS:
             return self.named[name]
         lookup(name)
         return lambda *args: self.call(name, *args)
