@@ -214,7 +214,8 @@ def factor_correlation(wide: DataFrame, names: list[str], new: list[str] | None
     def one_time(group: pd.DataFrame) -> pd.DataFrame:
         x = group[names].rank().to_numpy(float)
         there = ~np.isnan(x)
-        x = np.where(there, x - np.nanmean(np.where(there, x, np.nan), axis=0, keepdims=True) if there.any() else 0.0, 0.0)
+        x = np.where(there, x, 0.0)
+        x = np.where(there, x - x.sum(axis=0) / np.maximum(there.sum(axis=0), 1), 0.0)
         m = there.astype(float)
         n, sx, sxy, sxx = m.T @ m, x.T @ m, x.T @ x, (x * x).T @ m
         with np.errstate(all="ignore"):
