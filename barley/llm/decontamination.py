@@ -14,7 +14,6 @@ both rows. Document ids may repeat where one block suffices; each row is then ju
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
