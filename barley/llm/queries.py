@@ -1,9 +1,14 @@
 """The registered queries on texts and their DuckDB SQL."""
 
 from barley.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
+from barley.llm.ngram_join import OP2_SQL, op2_ngram_jaccard_join
 from barley.llm.quality_rules import OP5_SQL, op5_quality_rules
+from barley.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from barley.llm.token_counts import op9_token_counts
+from barley.llm.url_rules import OP4_SQL, op4_url_filters
 
-QUERIES = {q.__name__: q for q in (op5_quality_rules, op7_benchmark_decontamination, op9_token_counts)}
+QUERIES = {q.__name__: q for q in (
+    op1_substring_dedup, op2_ngram_jaccard_join, op4_url_filters, op5_quality_rules, op7_benchmark_decontamination, op9_token_counts)}
 
-SQL = {"op5_quality_rules": OP5_SQL, "op7_benchmark_decontamination": OP7_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_quality_rules": OP5_SQL,
+       "op7_benchmark_decontamination": OP7_SQL}
