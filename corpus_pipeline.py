@@ -1,16 +1,70 @@
-"""The corpus pipeline: stages that read a documents table and write the next one."""
+"""The corpus pipeline: from a documents table to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next stage's docs. All but the last
+return the columns of documents. Null texts pass the filters (nothing speaks against them) and end in no sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barley.llm.decontamination import find_leaks
+from barley.llm.ngram_join import similar_components
+from barley.llm.packing import n_words, pack
+from barley.llm.pii import replace_pii
+from barley.llm.shared import stash
+from barley.llm.toxicity import score_toxicity
+
+KEY = "barley"
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids, "doc_id", "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scored.where("predicted = 1").select("doc_id"))
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id."""
+    return _without(docs, similar_components(docs).where("component_id < doc_id").select("doc_id"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.where(F.size("spans") > 0).select("doc_id"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in the place of personal data, and n_chars counted anew."""
+    done = replace_pii(docs, KEY).drop("pii")
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' words in sequences of the permitted lengths: one row per piece."""
+    return pack(docs, n_words(F.col("text")))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", keep_one_of_similar),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("pii", hide_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
 
+#: the first stage is a fitted model, which SQL does not express
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
