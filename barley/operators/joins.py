@@ -69,16 +69,20 @@ def scheduled(panel: DataFrame, schedule: DataFrame, label: str, default: str =
 
 
 def active_at(times: DataFrame, positions: DataFrame, bucket: float = 7 * 86400) -> DataFrame:
-    """Positions open at each time: ``opened <= t < closed``. The latest opened wins for an instrument.
+    """Positions open at each time: ``opened <= t < closed``; one without a close is open. The latest opened wins for an instrument.
 
-    Both sides are cut into buckets of time, which turns the range condition into an equality join.
+    Both sides are cut into buckets of time, which turns the range condition into an equality join. A position takes the buckets of its life
+    within the range of ``times`` only.
     """
     def slot(c: str) -> Column:
         return F.floor(seconds(c) / F.lit(bucket))
 
-    spread = positions.withColumn("_slot", F.explode(F.sequence(slot("opened"), slot("closed"))))
     at = times.withColumn("_slot", slot("t"))
-    live = at.join(spread, "_slot").where((F.col("opened") <= F.col("t")) & (F.col("t") < F.col("closed")))
+    span = F.broadcast(at.agg(F.min("_slot").alias("_low"), F.max("_slot").alias("_high")))   # one row
+    first = F.greatest(slot("opened"), F.col("_low"))
+    last = F.least(F.coalesce(slot("closed"), F.col("_high")), F.col("_high"))
+    spread = positions.join(span).where(first <= last).withColumn("_slot", F.explode(F.sequence(first, last))).drop("_low", "_high")
+    live = at.join(spread, "_slot").where((F.col("opened") <= F.col("t")) & (F.col("closed").isNull() | (F.col("t") < F.col("closed"))))
     rest = [c for c in positions.columns if c != ID]
     best = F.max_by(F.struct(*rest), F.struct("opened", *[c for c in rest if c != "opened"])).alias("p")
     return live.groupBy("t", ID).agg(best).select("t", ID, "p.*")

@@ -5,12 +5,13 @@ Long tables: ``scores(ts, instrument_id, score)``, ``weights(ts, instrument_id,
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barley.functions.numeric import ratio
-from barley.operators.chunks import seconds, with_last_known, with_previous, with_running
+from barley.operators.chunks import SPAN, seconds, with_last_known, with_previous, with_running
 from barley.operators.joins import active_at, as_of, with_label
 from barley.operators.spec import ID, TS, Slice
 
@@ -18,70 +19,112 @@ C = Slice((TS,))
 
 
 def _placed(scores: DataFrame) -> DataFrame:
-    """Place from the bottom and the number of names, ordered by (score, id)."""
-    return scores.where("score IS NOT NULL").withColumns({
-        "place": F.row_number().over(C.by("score", ID)), "names": F.count(F.lit(1)).over(C.all())})
+    """Place from the bottom, from 1, and the number of names, ordered by (score, id). Names without a score stay, without place."""
+    known = F.col("score").isNotNull()
+    line = Window.partitionBy(TS, known)
+    return scores.withColumns({
+        "place": F.when(known, F.row_number().over(line.orderBy("score", ID))), "names": F.count("score").over(C.all())})
 
 
-def _state(df: DataFrame, event: Column, out: str) -> DataFrame:
-    return with_last_known(df.withColumn(out, event), [out], [TS], [ID], seconds())
+def _state(df: DataFrame, out: dict[str, Column]) -> DataFrame:
+    return with_last_known(df.withColumns(out), list(out), [TS], [ID], seconds())
 
 
 def sticky_selection(scores: DataFrame, n_long: int, n_short: int) -> DataFrame:
-    """Top and bottom names at equal weight. A holding stays until it is selected for the other side, so that the
-    side of a name is its last selection."""
+    """Top and bottom names at equal weight, ``scores`` dense. A holding stays until it is selected for the other side; one without a
+    score stays too. A name in both lists of a small universe is held on both sides, as two rows."""
     top = F.col("place") > F.col("names") - n_long
     bottom = F.col("place") <= n_short
-    # a name in both lists of a small universe counts for both sides, at no net weight
-    event = F.when(top & bottom, 0).when(top, 1).when(bottom, -1)
-    held = _state(_placed(scores), event, "side").where("side <> 0")
-    return held.select(TS, ID, (F.col("side") / F.count(F.lit(1)).over(C.all())).alias("weight"))
+    held = _state(_placed(scores), {"long": F.when(top, n_long > 0).when(bottom, False), "short": F.when(bottom, n_short > 0).when(top, False)})
+    sides = F.filter(F.array(F.when(F.col("long"), 1), F.when(F.col("short"), -1)), lambda x: x.isNotNull())
+    rows = held.select(TS, ID, F.explode(sides).alias("side"))
+    return rows.select(TS, ID, (F.col("side") / F.count(F.lit(1)).over(C.all())).alias("weight"))
 
 
 def buffered_selection(scores: DataFrame, n: int, buffer: float, every: int, axis: DataFrame) -> DataFrame:
-    """Lowest ``n`` long, highest ``n`` short, every ``every`` bars. A long closes above the buffer place, a short below it."""
+    """Lowest ``n`` long, highest ``n`` short, every ``every`` bars. A long closes above the buffer rank, a short below it; ranks count from 0.
+    A held name without a score stays. ``scores`` is dense."""
     at = _placed(scores).join(axis.where(F.col("bar") % every == 0), TS)
-    mid = F.floor(F.col("names") * buffer)
-    at = _state(at, F.when(F.col("place") <= n, 1).when(F.col("place") > mid, 0), "long")
-    at = _state(at, F.when(F.col("place") > F.col("names") - n, 1).when(F.col("place") < mid, 0), "short")
-    side = F.when(F.col("long") == 1, 1).when(F.col("short") == 1, -1)
+    mid, rank = F.floor(F.col("names") * buffer), F.col("place") - 1
+    at = _state(at, {"long": F.when(rank < n, True).when(rank > mid, False),
+                     "short": F.when(rank >= F.col("names") - n, True).when(rank < mid, False)})
+    side = F.when(F.col("long"), 1).when(F.col("short"), -1)
     return at.withColumn("side", side).where("side IS NOT NULL").select(TS, ID, "side")
 
 
 def threshold_positions(signals: DataFrame, level: float) -> DataFrame:
-    """Long when the score reaches +level, short at -level; out when the close crosses its mean. Columns score, close, mean."""
-    c = F.col
-    event = (F.when(c("score") == level, 1).when(c("score") == -level, -1))
-    s = _state(signals, F.when(event == 1, 1).when(c("close") < c("mean"), 0), "long")
-    s = _state(s, F.when(event == -1, 1).when(c("close") > c("mean"), 0), "short")
-    return s.select(TS, ID, F.coalesce(F.when(c("long") == 1, 1).when(c("short") == 1, -1), F.lit(0)).alias("side"))
+    """One position per instrument: flat enters long where the score is +level and short where it is -level; a long ends when the close is below its
+    mean, a short when it is above. A bar enters or ends, never both. Columns score, close, mean.
+
+    A bar maps each of the three states to the next one. Chunks of a series are reduced to their maps, only these are walked from chunk to chunk,
+    and each chunk is then replayed from its own first state.
+    """
+    cut = signals.withColumn("_chunk", F.floor(seconds() / F.lit(float(SPAN)))).withColumns({
+        "_enter": F.when(F.col("score") == level, 1).when(F.col("score") == -level, -1).otherwise(0),
+        "_below": F.coalesce(F.col("close") < F.col("mean"), F.lit(False)), "_above": F.coalesce(F.col("close") > F.col("mean"), F.lit(False))})
+    types = dict(cut.dtypes)
+
+    def replay(group: pd.DataFrame, state: int) -> list[int]:
+        out = []
+        for enter, below, above in zip(group["_enter"], group["_below"], group["_above"]):
+            ends = (state == 1 and below) or (state == -1 and above)
+            state = enter if state == 0 else 0 if ends else state
+            out.append(state)
+        return out
+
+    def summary(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(TS)
+        return pd.DataFrame({ID: [group[ID].iloc[0]], "_chunk": [group["_chunk"].iloc[0]], **{f"_from{k}": [replay(group, k - 1)[-1]] for k in range(3)}})
+
+    def walk(chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks, state, first = chunks.sort_values("_chunk"), 0, []
+        for ends in chunks[["_from0", "_from1", "_from2"]].itertuples(index=False):
+            first.append(state)
+            state = ends[state + 1]
+        return chunks.assign(_first=first)[[ID, "_chunk", "_first"]]
+
+    def states(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(TS)
+        return group.assign(side=replay(group, int(group["_first"].iloc[0])))[[TS, ID, "side"]]
+
+    key = f"{ID} {types[ID]}, _chunk bigint"
+    narrow = cut.select(TS, ID, "_chunk", "_enter", "_below", "_above")
+    firsts = narrow.groupBy(ID, "_chunk").applyInPandas(summary, f"{key}, _from0 int, _from1 int, _from2 int").groupBy(ID).applyInPandas(walk, f"{key}, _first int")
+    return narrow.join(firsts, [ID, "_chunk"]).groupBy(ID, "_chunk").applyInPandas(states, f"{TS} {types[TS]}, {ID} {types[ID]}, side int")
 
 
 def dropout_selection(scores: DataFrame, k: int, n_drop: int, portfolio: str = "portfolio") -> DataFrame:
-    """The ``k`` best names with at most ``n_drop`` replaced per time. The holdings are a sequence in time, so one portfolio
-    is one task; names that never came near the top are left out before."""
+    """The ``k`` best names with at most ``n_drop`` replaced per time.
+
+    Of the names held and the best newcomers (``n_drop`` more than there are free places), those held that are among the ``n_drop`` last may leave. Newcomers
+    take their places and the free ones; no more leave than are replaced, unless more than ``k`` are held. The holdings are a sequence in time, so one portfolio is one
+    task; names that never came near the top are left out before.
+    """
     near = Window.partitionBy(portfolio, TS).orderBy(F.desc("score"), F.desc(ID))
     placed = scores.where("score IS NOT NULL").withColumn("place", F.row_number().over(near))
     ever = placed.where(F.col("place") <= 2 * k + n_drop).select(portfolio, ID).distinct()
     rows = placed.join(ever, [portfolio, ID], "left_semi")
     types = dict(rows.dtypes)
 
+    def rotate(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Places kept or taken, of names ordered from the best; ``held`` flags those held before."""
+        mine, others = np.flatnonzero(held), np.flatnonzero(~held)
+        free = k - len(mine)
+        rivals = others[:max(0, free + n_drop)]
+        bound = np.sort(np.r_[mine, rivals])[-n_drop] if 0 < n_drop <= len(mine) + len(rivals) else 0 if n_drop else len(ids)
+        weak = int((mine >= bound).sum())
+        taken = max(0, min(len(rivals), weak + free))
+        gone = min(weak, taken + max(0, -free))
+        return np.r_[mine[:len(mine) - gone], rivals[:taken]]
+
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        held, out = set(), []
-        for when, now in group.sort_values([TS, "place"]).groupby(TS, sort=True):
-            order = now[ID].tolist()
-            old = [i for i in order if i in held]
-            fresh = [i for i in order if i not in held][: max(0, n_drop + k - len(old))]
-            pool = set(old) | set(fresh)
-            tail = [i for i in order if i in pool][-n_drop:] if n_drop else []
-            leave = [i for i in tail if i in held]
-            enter = fresh[: max(0, len(leave) + k - len(old))]
-            leave = leave[max(0, len(leave) - (len(enter) + max(0, len(old) - k))):]
-            held = (set(old) - set(leave)) | set(enter)
-            out += [(when, i) for i in held]
-        frame = pd.DataFrame(out, columns=[TS, ID])
-        frame.insert(0, portfolio, group[portfolio].iloc[0])
-        return frame
+        group, held, parts = group.sort_values([TS, "place"]), set(), []
+        for _, now in group.groupby(TS, sort=False):
+            ids = now[ID].to_numpy()
+            chosen = now.iloc[rotate(ids, np.isin(ids, list(held)))]
+            held = set(chosen[ID])
+            parts.append(chosen)
+        return pd.concat(parts)[[portfolio, TS, ID]]
 
     return rows.groupBy(portfolio).applyInPandas(walk, f"{portfolio} {types[portfolio]}, {TS} {types[TS]}, {ID} {types[ID]}")
 
@@ -91,20 +134,24 @@ def _sized(x: Column) -> Column:
     return F.when(total == 0, x).otherwise(ratio(x, total))
 
 
-def alpha_weights(panel: DataFrame, delay: int, decay: int, limit: float, rounds: int = 20) -> DataFrame:
-    """Delay, market-neutralise, scale, linear decay (absent names count 0), scale, and cap iteratively.
+def alpha_weights(panel: DataFrame, delay: int, decay: int, limit: float, rounds: int = 20, neutral: bool = True) -> DataFrame:
+    """Delay, market-neutralise (if ``neutral``), scale, linear decay (absent names count 0), scale, and cap iteratively.
 
-    ``panel(ts, instrument_id, bar, score)`` is dense.
+    ``panel(ts, instrument_id, bar, score)`` is dense. The decay looks back on the bars there are: from 1 for the oldest of them to their number.
+    History begins at the first bar with any score.
     """
     step = panel
     if delay:
         step = with_previous(panel, ["score"], ["bar"], position=F.col("bar"), width=4096)
         step = step.withColumn("score", F.col("previous")["score"]).drop("previous").where(F.col("bar") >= delay)
-    step = step.withColumn("w", F.col("score") - F.avg("score").over(C.all()))
+    step = step.withColumn("w", F.col("score") - F.avg("score").over(C.all()) if neutral else F.col("score"))
     step = step.withColumn("w", F.coalesce(_sized(F.col("w")), F.lit(0.0)))
     if decay:
         back = step.select(ID, "bar", "w", F.explode(F.sequence(F.lit(0), F.lit(decay - 1))).alias("age"))
-        back = back.select(ID, (F.col("bar") + F.col("age")).alias("bar"), (F.col("w") * (decay - F.col("age"))).alias("part"))
+        start = F.broadcast(step.where("score IS NOT NULL").agg(F.min("bar").alias("start")))   # one row
+        at = F.col("bar") + F.col("age")
+        there = F.least(at - F.col("start") + 1, F.lit(decay))
+        back = back.join(start).select(ID, at.alias("bar"), (F.col("w") * F.greatest(there - F.col("age"), F.lit(0))).alias("part"))
         mixed = back.groupBy(ID, "bar").agg(F.sum("part").alias("w"))
         step = step.drop("w").join(mixed, [ID, "bar"])
         step = step.withColumn("w", _sized(F.col("w")))
@@ -152,7 +199,7 @@ def concentration(weights: DataFrame) -> DataFrame:
     size = F.sum(F.abs("weight"))
     share2 = ratio(F.sum(F.col("weight") * F.col("weight")), size * size)
     return weights.groupBy(TS).agg(share2.alias("herfindahl"), ratio(F.lit(1.0), share2).alias("effective_n"),
-                                   ratio(F.max(F.abs("weight")), size).alias("max_weight"))
+                                   F.max(F.abs("weight")).alias("max_weight"))
 
 
 def exposure(weights: DataFrame) -> DataFrame:
@@ -196,13 +243,20 @@ def risk_budget(exposures: DataFrame, covariance: DataFrame, specific: DataFrame
     return both.withColumn("share", ratio(F.col("variance"), F.sum("variance").over(C.all())))
 
 
-def value_at_risk(weights: DataFrame, returns: DataFrame, level: float = 0.95, at_least: int = 10) -> DataFrame:
-    """Historical loss quantile and mean loss beyond it of today's ``weights(instrument_id, weight)``."""
+def value_at_risk(weights: DataFrame, returns: DataFrame, level: float = 0.95, at_least: int = 10, lookback: int | None = None,
+                  equity: float | None = None) -> DataFrame:
+    """Historical loss quantile and mean loss beyond it of today's ``weights(instrument_id, weight)``.
+
+    ``lookback`` takes the last so many times only; with ``equity`` the losses are also given in money.
+    """
     line = returns.join(weights, ID).groupBy(TS).agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+    if lookback is not None:
+        line = line.orderBy(F.desc(TS)).limit(lookback)
     edge = line.agg(F.percentile("ret", F.lit(1 - level)).alias("edge"), F.count("ret").alias("n"))
     both = line.join(F.broadcast(edge))  # one row
-    return both.groupBy("n").agg(F.when(F.col("n") >= at_least, -F.first("edge")).alias("var"),
-                                 F.when(F.col("n") >= at_least, -F.avg(F.when(F.col("ret") <= F.col("edge"), F.col("ret")))).alias("cvar"))
+    out = both.groupBy("n").agg(F.when(F.col("n") >= at_least, -F.first("edge")).alias("var"),
+                                F.when(F.col("n") >= at_least, -F.avg(F.when(F.col("ret") <= F.col("edge"), F.col("ret")))).alias("cvar"))
+    return out if equity is None else out.withColumns({"var_money": F.col("var") * equity, "cvar_money": F.col("cvar") * equity})
 
 
 # ---- reports
@@ -293,11 +347,11 @@ def snapshot_at(times: DataFrame, snapshots: DataFrame, fields: list[str]) -> Da
 
 # ---- breakout signal
 def breakout(o, k: int, m: int, n: int) -> dict:
-    """Board terms of a breakout system: entries beyond the prior ``k``-bar range on high volume, exits after ``m`` closes
+    """Board terms of a breakout system: entries beyond the highest or lowest close of the prior ``k`` bars on high volume, exits after ``m`` closes
     beyond the ``n``-bar mean."""
     mean = o.ts_mean(o.close, n)
     busy = o.volume > o.delay(o.ts_max(o.volume, k), 1)
-    up = (o.close > o.delay(o.ts_max(o.high, k), 1)) & busy & (o.close > mean)
-    down = (o.close < o.delay(o.ts_min(o.low, k), 1)) & busy & (o.close < mean)
+    up = (o.close > o.delay(o.ts_max(o.close, k), 1)) & busy & (o.close > mean)
+    down = (o.close < o.delay(o.ts_min(o.close, k), 1)) & busy & (o.close < mean)
     return {"entry_long": up, "entry_short": down,
             "exit_long": o.ts_sum(o.close < mean, m) >= m, "exit_short": o.ts_sum(o.close > mean, m) >= m}

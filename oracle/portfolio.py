@@ -54,11 +54,14 @@ def axis(s, sf):
     return panel(s, sf, "month").select(TS, BAR).distinct()
 
 
-PLACED = ", pl AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score, instrument_id) AS place, count(*) OVER (PARTITION BY ts) AS names FROM sc)"
-q("sticky_selection", (PLACED + """, ev AS (SELECT *, last_value(CASE WHEN place > names - 10 THEN 1 WHEN place <= 5 THEN -1 END IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY ts) AS side FROM pl)""",
-  "SELECT ts, instrument_id, side / (count(*) OVER (PARTITION BY ts))::DOUBLE AS weight FROM ev WHERE side IS NOT NULL"), lambda s, sf: P.sticky_selection(scores(s, sf), 10, 5), ["weight"])
-q("buffered_selection", (PLACED + """, rb AS (SELECT pl.*, floor(names * 0.4) AS mid FROM pl JOIN (SELECT DISTINCT ts, bar FROM panel) a USING (ts) WHERE bar % 3 = 0),
-  ev AS (SELECT *, last_value(CASE WHEN place <= 8 THEN 1 WHEN place > mid THEN 0 END IGNORE NULLS) OVER v AS l, last_value(CASE WHEN place > names - 8 THEN 1 WHEN place < mid THEN 0 END IGNORE NULLS) OVER v AS sh
+PLACED = ", pl AS (SELECT *, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY ts, score IS NULL ORDER BY score, instrument_id) END AS place, count(score) OVER (PARTITION BY ts) AS names FROM w)"
+STICKY = PLACED + """, ev AS (SELECT *, coalesce(last_value(CASE WHEN place > names - {long} THEN true WHEN place <= {short} THEN false END IGNORE NULLS) OVER v, false) AS l,
+  coalesce(last_value(CASE WHEN place <= {short} THEN true WHEN place > names - {long} THEN false END IGNORE NULLS) OVER v, false) AS sh FROM pl WINDOW v AS (PARTITION BY instrument_id ORDER BY ts)),
+  bs AS (SELECT ts, instrument_id, 1 AS side FROM ev WHERE l UNION ALL SELECT ts, instrument_id, -1 FROM ev WHERE sh)"""
+q("sticky_selection", (STICKY.format(long=10, short=5), "SELECT ts, instrument_id, side / (count(*) OVER (PARTITION BY ts))::DOUBLE AS weight FROM bs"),
+  lambda s, sf: P.sticky_selection(scores(s, sf), 10, 5), ["weight"])
+q("buffered_selection", (PLACED + """, rb AS (SELECT pl.*, floor(names * 0.4) AS mid FROM pl WHERE bar % 3 = 0),
+  ev AS (SELECT *, coalesce(last_value(CASE WHEN place <= 8 THEN 1 WHEN place - 1 > mid THEN 0 END IGNORE NULLS) OVER v, 0) AS l, coalesce(last_value(CASE WHEN place > names - 8 THEN 1 WHEN place - 1 < mid THEN 0 END IGNORE NULLS) OVER v, 0) AS sh
   FROM rb WINDOW v AS (PARTITION BY instrument_id ORDER BY ts))""", "SELECT ts, instrument_id, CASE WHEN l = 1 THEN 1 ELSE -1 END AS side FROM ev WHERE l = 1 OR sh = 1"),
   lambda s, sf: P.buffered_selection(scores(s, sf), 8, 0.4, 3, axis(s, sf)))
 
@@ -71,9 +74,11 @@ def signals(s, sf):
 q("threshold_positions", (""", sg AS (SELECT instrument_id, ts, "close", CASE WHEN coalesce("close" > hi, false) THEN 1 WHEN coalesce("close" < lo, false) THEN -1 ELSE 0 END AS score, mean FROM (SELECT *,
    CASE WHEN count(high) OVER p = 6 THEN max(high) OVER p END AS hi, CASE WHEN count(low) OVER p = 6 THEN min(low) OVER p END AS lo, CASE WHEN count("close") OVER m = 4 THEN avg("close") OVER m END AS mean
    FROM panel WINDOW p AS (PARTITION BY instrument_id ORDER BY bar ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), m AS (PARTITION BY instrument_id ORDER BY bar ROWS 3 PRECEDING))),
-  ev AS (SELECT *, last_value(CASE WHEN score = 1 THEN 1 WHEN "close" < mean THEN 0 END IGNORE NULLS) OVER v AS l, last_value(CASE WHEN score = -1 THEN 1 WHEN "close" > mean THEN 0 END IGNORE NULLS) OVER v AS sh
-  FROM sg WINDOW v AS (PARTITION BY instrument_id ORDER BY ts))""", "SELECT ts, instrument_id, CASE WHEN l = 1 THEN 1 WHEN sh = 1 THEN -1 ELSE 0 END AS side FROM ev"),
-  lambda s, sf: P.threshold_positions(signals(s, sf), 1.0))
+  nb AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) AS k FROM sg),
+  st AS (SELECT instrument_id, ts, k, score AS side FROM nb WHERE k = 1 UNION ALL
+    SELECT n.instrument_id, n.ts, n.k, CASE WHEN st.side = 0 THEN n.score WHEN st.side = 1 AND coalesce(n."close" < n.mean, false) THEN 0 WHEN st.side = -1 AND coalesce(n."close" > n.mean, false) THEN 0 ELSE st.side END
+    FROM st JOIN nb n ON n.instrument_id = st.instrument_id AND n.k = st.k + 1)""", "SELECT ts, instrument_id, side FROM st"),
+  lambda s, sf: P.threshold_positions(signals(s, sf), 1.0), base=BASE.replace("WITH", "WITH RECURSIVE", 1))
 QUERIES["dropout_selection"] = (lambda s, sf: P.dropout_selection(scores(s, sf).withColumn("portfolio", F.lit("main")), 10, 2), None)
 
 
@@ -83,7 +88,7 @@ def alpha(delay, decay, limit):
 
 ALPHA = """, d0 AS (SELECT *, lag(score) OVER (PARTITION BY instrument_id ORDER BY bar) AS sc1 FROM w), d AS (SELECT instrument_id, ts, bar, sc1 - avg(sc1) OVER (PARTITION BY ts) AS a FROM d0 WHERE bar >= 1),
   e AS (SELECT instrument_id, ts, bar, coalesce(CASE WHEN sum(abs(a)) OVER (PARTITION BY ts) = 0 THEN a ELSE a / sum(abs(a)) OVER (PARTITION BY ts) END, 0) AS a FROM d),
-  f AS (SELECT instrument_id, ts, bar, 3 * a + 2 * coalesce(lag(a, 1) OVER v, 0) + coalesce(lag(a, 2) OVER v, 0) AS a FROM e WINDOW v AS (PARTITION BY instrument_id ORDER BY bar)),
+  fb AS (SELECT min(bar) AS b FROM d WHERE a IS NOT NULL), f AS (SELECT instrument_id, ts, bar, greatest(least(bar - b + 1, 3), 0) * a + greatest(least(bar - b + 1, 3) - 1, 0) * coalesce(lag(a, 1) OVER v, 0) + greatest(least(bar - b + 1, 3) - 2, 0) * coalesce(lag(a, 2) OVER v, 0) AS a FROM e, fb WINDOW v AS (PARTITION BY instrument_id ORDER BY bar)),
   t0 AS (SELECT instrument_id, ts, CASE WHEN sum(abs(a)) OVER (PARTITION BY ts) = 0 THEN a ELSE a / sum(abs(a)) OVER (PARTITION BY ts) END AS a, false AS done FROM f)"""
 for _i in range(1, 21):
     ALPHA += f""", u{_i} AS (SELECT instrument_id, ts, done, a AS old, greatest(-0.04, least(0.04, a)) AS a FROM t{_i - 1}), t{_i} AS MATERIALIZED (SELECT instrument_id, ts, CASE WHEN done THEN old ELSE n END AS a, done OR max(abs(n)) OVER (PARTITION BY ts) <= 0.04 + 1e-10 AS done
@@ -104,7 +109,7 @@ q("target_value_equal", "SELECT ts, instrument_id, weight, sign(weight) * 1000 *
   lambda s, sf: P.target_value(weights(s, sf).where("weight <> 0"), "equal", 1000.0, 0.6), ["weight", "value"])
 q("target_value_fixed", "SELECT ts, instrument_id, weight, sign(weight) * 50.0::DOUBLE AS value FROM wt", lambda s, sf: P.target_value(weights(s, sf), "fixed", 50.0), ["weight", "value"])
 q("target_value_weighted", "SELECT ts, instrument_id, weight, weight * 1000 AS value FROM wt", lambda s, sf: P.target_value(weights(s, sf), "weighted", 1000.0), ["weight", "value"])
-q("concentration", "SELECT ts, sum(weight * weight) / pow(sum(abs(weight)), 2) AS herfindahl, pow(sum(abs(weight)), 2) / sum(weight * weight) AS effective_n, max(abs(weight)) / sum(abs(weight)) AS max_weight FROM wt GROUP BY 1",
+q("concentration", "SELECT ts, sum(weight * weight) / pow(sum(abs(weight)), 2) AS herfindahl, pow(sum(abs(weight)), 2) / sum(weight * weight) AS effective_n, max(abs(weight)) AS max_weight FROM wt GROUP BY 1",
   lambda s, sf: P.concentration(weights(s, sf)), ["herfindahl", "effective_n", "max_weight"])
 q("exposure", "SELECT ts, sum(abs(weight)) AS gross, sum(weight) AS net, coalesce(sum(weight) FILTER (weight > 0), 0) AS long, coalesce(-sum(weight) FILTER (weight < 0), 0) AS short FROM wt GROUP BY 1",
   lambda s, sf: P.exposure(weights(s, sf)), ["gross", "net", "long", "short"])
@@ -271,7 +276,14 @@ class _Breakout(FactorSet):
 
 
 BREAK = _Breakout({}, {n: None for n in _names})
-_bc, _bo = factor_sql(BREAK, FIELDS)
-QUERIES["breakout_signal"] = (lambda s, sf: BREAK.evaluate(panel(s, sf)).drop(BAR), panel_sql() + ",\n" + ",\n".join(_bc) + "\nSELECT instrument_id, ts, " + ", ".join(f"{e} AS {n}" for n, e in _bo.items()) + " FROM cells")
+# by hand: five closes before the bar, the bar's own three-bar mean, eight closes beyond it to leave; see the argument order of the library
+QUERIES["breakout_signal"] = (lambda s, sf: BREAK.evaluate(panel(s, sf)).drop(BAR), panel_sql() + """,
+b AS (SELECT *, CASE WHEN count("close") OVER p = 5 THEN max("close") OVER p END AS top, CASE WHEN count("close") OVER p = 5 THEN min("close") OVER p END AS low5,
+  CASE WHEN count(volume) OVER p = 5 THEN max(volume) OVER p END AS most, CASE WHEN count("close") OVER m = 8 THEN avg("close") OVER m END AS mean
+  FROM panel WINDOW p AS (PARTITION BY instrument_id ORDER BY bar ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), m AS (PARTITION BY instrument_id ORDER BY bar ROWS 7 PRECEDING)),
+x AS (SELECT *, coalesce("close" < mean, false)::INT AS under, coalesce("close" > mean, false)::INT AS over FROM b)
+SELECT instrument_id, ts, coalesce("close" > top AND volume > most AND "close" > mean, false)::INT::DOUBLE AS entry_long, coalesce("close" < low5 AND volume > most AND "close" < mean, false)::INT::DOUBLE AS entry_short,
+  coalesce(sum(under) OVER e >= 3 AND count(*) OVER e = 3, false)::INT::DOUBLE AS exit_long, coalesce(sum(over) OVER e >= 3 AND count(*) OVER e = 3, false)::INT::DOUBLE AS exit_short
+FROM x WINDOW e AS (PARTITION BY instrument_id ORDER BY bar ROWS 2 PRECEDING)""")
 q("factor_set_coverage", "SELECT factor, count(*) AS n FROM vals GROUP BY 1 HAVING count(*) >= 0.9 * (SELECT count(*) FROM panel)",
   lambda s, sf: values(s, sf).groupBy("factor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 0.9 * panel(s, sf, "month").agg(F.count(F.lit(1))).scalar()))
