@@ -316,11 +316,16 @@ def ic_by_regime(ic: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def regime_weights(by_regime: DataFrame, floor: float = 0.0, signed: bool = False) -> DataFrame:
-    """Weights within a regime: in proportion to ``max(icir, floor)``, or to the signed ratio over the sum of sizes."""
-    raw = F.col("icir") if signed else F.greatest(F.col("icir"), F.lit(floor))
+    """Weights within a regime: in proportion to ``max(icir, floor)``; or, signed, to ``max(abs(icir), floor)`` with the ratio's sign (a missing
+    ratio counts as 0, zero as positive; equal weights where all sizes are 0)."""
+    known = F.coalesce("icir", F.lit(0.0))
+    raw = F.greatest(F.abs(known), F.lit(floor)) if signed else F.greatest(F.col("icir"), F.lit(floor))
     group = Window.partitionBy("horizon", "label")
-    return by_regime.withColumn("_raw", raw).select(
-        *SERIES, "label", ratio(F.col("_raw"), F.sum(F.abs("_raw")).over(group)).alias("weight"))
+    total = F.sum(F.abs("_raw")).over(group)
+    weight = ratio(F.col("_raw"), total)
+    if signed:
+        weight = F.when(total == 0, 1 / F.count(F.lit(1)).over(group)).otherwise(F.when(known >= 0, weight).otherwise(-weight))
+    return by_regime.withColumn("_raw", raw).select(*SERIES, "label", weight.alias("weight"))
 
 
 def market_regime(panel: DataFrame, span: int) -> DataFrame:
@@ -361,18 +366,27 @@ def compare_regimes(ic: DataFrame, first: DataFrame, second: DataFrame, floor: f
     return out
 
 
-def regime_features(o, spans=(7, 14, 21)) -> dict:
-    """Board terms: smoothed log return, downside deviation, Sortino ratio, RSI and volume correlation."""
+def regime_features(o, other=None, spans=(7, 14, 21), down=(30, 126), sortino=(30, 60, 126)) -> dict:
+    """Board terms of a market's state: smoothed log return, downside deviation, Sortino ratio, RSI, correlation of return and volume, and,
+    with the close of an ``other`` instrument as a term, the smoothed spread of returns.
+
+    Smoothing is bias-corrected: the plain averages of the values and of ones where there is a value, both started at zero (the first bar
+    has no return).
+    """
+    def smooth(x, n):
+        return o.ema(o.fill_nan(x, 0), n) / o.ema(1 - o.is_nan(x), n)
+
     log_ret = o.log(o.close / o.delay(o.close, 1))
-    out = {}
-    for n in spans:
-        down = o.sqrt(o.ts_mean(o.power(o.min(log_ret, 0), 2), n))
-        out[f"ema_ret_{n}"] = o.ema(log_ret, n)
-        out[f"downside_{n}"] = down
-        out[f"sortino_{n}"] = o.ts_mean(log_ret, n) / down
-    d = o.delta(o.close, 1)
-    out["rsi"] = 100 - 100 / (1 + o.ema(o.max(d, 0), 14) / o.ema(o.max(-d, 0), 14))
-    out["volume_corr"] = o.correlation(log_ret, o.log(o.volume / o.delay(o.volume, 1)), 14)
+    ret = o.close / o.delay(o.close, 1) - 1
+    deviation = {n: o.sqrt(o.ts_mean(o.power(o.min(log_ret, 0), 2), n)) for n in {*down, *sortino}}
+    out = {f"ema_ret_{n}": smooth(log_ret, n) for n in spans}
+    out |= {f"downside_{n}": deviation[n] for n in down}
+    out |= {f"sortino_{n}": o.ts_mean(log_ret, n) / deviation[n] for n in sortino}
+    step = o.delta(o.close, 1)
+    out["rsi"] = 100 - 100 / (1 + o.ts_mean(o.max(step, 0), 14) / o.ts_mean(o.max(-step, 0), 14))
+    out["volume_corr"] = o.correlation(ret, o.volume, 20)
+    if other is not None:
+        out["pair_spread"] = smooth(ret - (other / o.delay(other, 1) - 1), 14)
     return out
 
 
@@ -387,21 +401,24 @@ def realised_ic(values: DataFrame, panel: DataFrame, axis: DataFrame, min_assets
 
 
 def health(cells: DataFrame, axis: DataFrame) -> DataFrame:
-    """Per time and factor: missing and infinite cells, dispersion, kurtosis, stuck values, turnover of ranks.
+    """Per time and factor: missing or infinite cells, dispersion and kurtosis (population form), values equal to the bar before, and turnover of
+    ranks among the names finite at both bars (0 below three of them, null without any or at the first bar).
 
     ``cells`` holds every instrument, missing values as null.
     """
-    infinite = F.abs("value") == float("inf")
-    good = F.when(~infinite, F.col("value"))
-    ranked = cells.withColumn("good", good).withColumn("a", cs_rank_average(F.col("good"), on=Slice((TS, "factor")))).join(axis, TS)
-    before = ranked.select("factor", ID, F.col("good").alias("was"), F.col("a").alias("b"), (F.col(BAR) + 1).alias(BAR))
-    both = ranked.join(before, ["factor", ID, BAR], "left")
-    return both.groupBy(TS, "factor").agg(
-        F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(infinite).alias("infinite"),
-        (F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing_rate"),
-        F.stddev_samp("good").alias("dispersion"), F.kurtosis("good").alias("kurt"),
-        F.count_if(F.col("good") == F.col("was")).alias("stuck"),
-        (1 - correlate(F.col("a"), F.col("b"))).alias("turnover"))
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    now = cells.join(axis, TS).select(TS, "factor", ID, BAR, finite.alias("now"))
+    before = now.select("factor", ID, (F.col(BAR) + 1).alias(BAR), F.col("now").alias("was"))
+    both = now.join(before, ["factor", ID, BAR], "left").withColumn("common", F.col("now").isNotNull() & F.col("was").isNotNull())
+    group = Slice((TS, "factor", "common"))
+    ranked = both.withColumns({n: F.when(F.col("common"), cs_rank_average(F.when(F.col("common"), F.col(c)), on=group)) for n, c in (("a", "now"), ("b", "was"))})
+    names, wide = F.count("now"), F.stddev_pop("now")
+    shared = F.count_if("common")
+    return ranked.groupBy(TS, "factor").agg(
+        F.count_if(F.col("now").isNull()).alias("anomalies"), (F.count_if(F.col("now").isNull()) / F.count(F.lit(1))).alias("anomaly_rate"),
+        F.when(names >= 2, wide).otherwise(0.0).alias("dispersion"), F.when((names >= 2) & (wide > 1e-12), F.kurtosis("now")).otherwise(0.0).alias("kurt"),
+        names.alias("names"), F.when(F.max(BAR) > 0, F.count_if(F.col("common") & (F.col("now") == F.col("was"))).cast("double")).alias("stuck"),
+        F.when(shared >= 3, F.coalesce(1 - correlate(F.col("a"), F.col("b")), F.lit(0.0))).when(shared > 0, 0.0).alias("turnover"))
 
 
 def composite_spread(scores: DataFrame, returns: DataFrame, share: float = 0.2, min_names: int = 20) -> DataFrame:
@@ -417,13 +434,18 @@ def composite_spread(scores: DataFrame, returns: DataFrame, share: float = 0.2,
 
 
 def weighted_score(wide: DataFrame, weights: dict[str, float] | DataFrame, factors: list[str]) -> DataFrame:
-    """Sum of weights times standardised factors. ``weights`` is fixed, or a table ``(ts, factor, weight)``."""
+    """Sum of weights times factors standardised by the sample deviation. ``weights`` is fixed, and then a name needs all factors; or it is a table
+    ``(ts, factor, weight)``, and the factors a name has are summed."""
     long = wide.unpivot([TS, ID], factors, "factor", "value").where("value IS NOT NULL")
     c = Slice((TS, "factor")).all()
-    z = long.withColumn("z", ratio(F.col("value") - F.avg("value").over(c), F.stddev_pop("value").over(c)))
+    z = long.withColumn("z", ratio(F.col("value") - F.avg("value").over(c), F.stddev_samp("value").over(c)))
     if isinstance(weights, dict):
         table = F.create_map(*[x for n, v in weights.items() for x in (F.lit(n), F.lit(float(v)))])
         z = z.withColumn("weight", table[F.col("factor")])
     else:
         z = z.join(weights, [TS, "factor"])
-    return z.groupBy(TS, ID).agg(F.sum(F.col("z") * F.col("weight")).alias("score"))
+    part = F.col("z") * F.col("weight")
+    score = F.sum(part)
+    if isinstance(weights, dict):
+        score = F.when(F.count(part) == len(weights), score)
+    return z.groupBy(TS, ID).agg(score.alias("score"))

@@ -167,8 +167,9 @@ REGIME = IC + LABELS + f""", split AS (SELECT {S}, label, avg(ic) AS mean, avg(i
 q("ic_by_regime", (REGIME, "SELECT * FROM bylabel"), lambda s, sf: Q.ic_by_regime(ic(s, sf), labels(s, sf)), ["mean", "icir", "win_rate", "spread"])
 q("regime_weights", (REGIME, f"SELECT {S}, label, greatest(icir, 0.01) / sum(greatest(icir, 0.01)) OVER (PARTITION BY horizon, label) AS weight FROM bylabel"),
   lambda s, sf: Q.regime_weights(Q.ic_by_regime(ic(s, sf), labels(s, sf)), 0.01), ["weight"])
-q("regime_weights_signed", (REGIME, f"SELECT {S}, label, icir / sum(abs(icir)) OVER (PARTITION BY horizon, label) AS weight FROM bylabel"),
-  lambda s, sf: Q.regime_weights(Q.ic_by_regime(ic(s, sf), labels(s, sf)), signed=True), ["weight"])
+q("regime_weights_signed", (REGIME, f"""SELECT {S}, label, CASE WHEN coalesce(icir, 0) >= 0 THEN 1 ELSE -1 END * greatest(abs(coalesce(icir, 0)), 0.05)
+  / sum(greatest(abs(coalesce(icir, 0)), 0.05)) OVER (PARTITION BY horizon, label) AS weight FROM bylabel"""),
+  lambda s, sf: Q.regime_weights(Q.ic_by_regime(ic(s, sf), labels(s, sf)), 0.05, signed=True), ["weight"])
 MARKET = """, market AS (SELECT ts, bar, avg(ret) AS x FROM (SELECT *, "close" / lag("close") OVER (PARTITION BY instrument_id ORDER BY bar) - 1 AS ret FROM panel) GROUP BY 1, 2 HAVING avg(ret) IS NOT NULL)"""
 q("market_regime", (MARKET + ", lv AS (SELECT a.ts, sum(b.x * pow(9.0 / 11, a.bar - b.bar)) / sum(pow(9.0 / 11, a.bar - b.bar)) AS level FROM market a JOIN market b ON b.bar <= a.bar GROUP BY 1)",
   "SELECT ts, level, CASE WHEN level > 0 THEN 'bull' ELSE 'bear' END AS label FROM lv"), lambda s, sf: Q.market_regime(panel(s, sf, "month"), 10), ["level"])
@@ -190,29 +191,53 @@ q("compare_regimes", (REGIME + f""", split2 AS (SELECT {S}, l.label, avg(ic) AS
 
 
 class _Features(FactorSet):
+    """The open stands for the close of another instrument."""
+
     def build(self, board):
-        out = Q.regime_features(board)
-        return {n: board.name(n, t) for n, t in out.items()}
+        return {n: board.name(n, t) for n, t in Q.regime_features(board, board.open, down=(10, 30), sortino=(10, 20, 30)).items()}
 
 
-_names = [*(f"{k}_{n}" for n in (7, 14, 21) for k in ("ema_ret", "downside", "sortino")), "rsi", "volume_corr"]
+_names = [*(f"ema_ret_{n}" for n in (7, 14, 21)), "downside_10", "downside_30", "sortino_10", "sortino_20", "sortino_30", "rsi", "volume_corr", "pair_spread"]
 FEATURES = _Features({}, {n: None for n in _names})
-_fc, _fo = factor_sql(FEATURES, FIELDS)
+# written from the rules, not from the library's terms
+_full = lambda x, n, agg="avg({})": f"CASE WHEN count({x}) OVER w{n} = {n} THEN {agg.format(x)} OVER w{n} END"
+_decay = lambda n: f"pow({n - 1}.0::DOUBLE / {n + 1}, a.bar - b.bar)"
+_mean = lambda x, n: f"sum(b.{x} * {_decay(n)}) / nullif(sum({_decay(n)}) FILTER (b.{x} IS NOT NULL), 0)"
 QUERIES["regime_features"] = (
     lambda s, sf: rounded(FEATURES.evaluate(panel(s, sf, "month")).drop(BAR)),
-    panel_sql("month") + ",\n" + ",\n".join(_fc) + "\nSELECT instrument_id, ts, " + ", ".join(f"{rs(e)} AS {n}" for n, e in _fo.items()) + " FROM cells")
+    panel_sql("month") + f""",
+f0 AS (SELECT *, ln("close" / lag("close") OVER v) AS lr, "close" / lag("close") OVER v - 1 AS ret, "open" / lag("open") OVER v - 1 AS oret, "close" - lag("close") OVER v AS d
+  FROM panel WINDOW v AS (PARTITION BY instrument_id ORDER BY bar)),
+f1 AS MATERIALIZED (SELECT *, ret - oret AS gap, CASE WHEN lr < 0 THEN lr * lr WHEN lr IS NOT NULL THEN 0 END AS neg, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS up,
+  CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END AS dn, CASE WHEN ret IS NOT NULL AND volume IS NOT NULL THEN 1 END AS two FROM f0),
+sm AS (SELECT a.instrument_id, a.ts, {_mean('lr', 7)} AS e7, {_mean('lr', 14)} AS e14, {_mean('lr', 21)} AS e21, {_mean('gap', 14)} AS gp
+  FROM f1 a JOIN f1 b ON b.instrument_id = a.instrument_id AND b.bar <= a.bar GROUP BY 1, 2),
+f2 AS (SELECT instrument_id, ts, sqrt({_full('neg', 10)}) AS d10, sqrt({_full('neg', 20)}) AS d20, sqrt({_full('neg', 30)}) AS d30, {_full('lr', 10)} AS m10, {_full('lr', 20)} AS m20, {_full('lr', 30)} AS m30,
+  {_full('up', 14)} AS up, {_full('dn', 14)} AS dn, CASE WHEN count(two) OVER w20 = 20 THEN corr(ret, volume) OVER w20 END AS vc
+  FROM f1 WINDOW {', '.join(f'w{n} AS (PARTITION BY instrument_id ORDER BY bar ROWS {n - 1} PRECEDING)' for n in (10, 14, 20, 30))})
+SELECT instrument_id, ts, {rs('e7')} AS ema_ret_7, {rs('e14')} AS ema_ret_14, {rs('e21')} AS ema_ret_21, {rs('d10')} AS downside_10, {rs('d30')} AS downside_30, {rs('m10 / nullif(d10, 0)')} AS sortino_10,
+  {rs('m20 / nullif(d20, 0)')} AS sortino_20, {rs('m30 / nullif(d30, 0)')} AS sortino_30, {rs('100 - 100 / (1 + up / nullif(dn, 0))')} AS rsi, {rs('vc')} AS volume_corr, {rs('gp')} AS pair_spread FROM f2 JOIN sm USING (instrument_id, ts)""")
 q("realised_ic", (AXIS + f""", ric AS (SELECT ts, factor, CASE WHEN count(*) >= 3 THEN {corr('a', 'b')} END AS ic FROM (SELECT *, {ranked('value', 'ts, factor')} AS a, {ranked('fwd_ret', 'ts, factor')} AS b
   FROM pairs WHERE horizon = 1) GROUP BY 1, 2)""", "SELECT y.ts, factor, ic FROM ric JOIN axis2 x USING (ts) JOIN axis2 y ON y.bar = x.bar + 1"),
   lambda s, sf: Q.realised_ic(values(s, sf), panel(s, sf, "month"), axis(s, sf)), ["ic"])
-HEALTH = f"""{AXIS}, allv AS (SELECT ts, instrument_id, bar, 'mom' AS factor, mom AS value FROM wide UNION ALL SELECT ts, instrument_id, bar, 'vol', vol FROM wide),
-  hr AS (SELECT *, CASE WHEN value IS NOT NULL THEN {ranked('value', 'ts, factor')} END AS a FROM allv),
-  hb AS (SELECT x.*, y.value AS was, CASE WHEN x.a IS NOT NULL THEN y.a END AS b, CASE WHEN y.a IS NOT NULL THEN x.a END AS a2 FROM hr x LEFT JOIN hr y ON y.factor = x.factor AND y.instrument_id = x.instrument_id AND y.bar = x.bar - 1)"""
-q("factor_health", (HEALTH, f"""SELECT ts, factor, count(*) - count(value) AS missing, 0::BIGINT AS infinite, (count(*) - count(value)) / count(*)::DOUBLE AS missing_rate, stddev_samp(value) AS dispersion,
-  CASE WHEN stddev_pop(value) > 0 THEN avg(pow(value - mu, 4)) / pow(stddev_pop(value), 4) - 3 END AS kurt, count(*) FILTER (value = was) AS stuck, 1 - ({corr('a2', 'b')}) AS turnover
-  FROM (SELECT *, avg(value) OVER (PARTITION BY ts, factor) AS mu FROM hb) GROUP BY 1, 2"""),
-  lambda s, sf: Q.health(wide(s, sf).unpivot([TS, ID], ["mom", "vol"], "factor", "value"), axis(s, sf)), ["missing_rate", "dispersion", "kurt", "turnover"])
-SCORE = """, z AS (SELECT *, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM vals WINDOW w AS (PARTITION BY ts, factor)),
-  score AS (SELECT ts, instrument_id, sum(z * CASE factor WHEN 'mom' THEN 0.7 ELSE -0.3 END) AS score FROM z GROUP BY 1, 2)"""
+HEALTH = f"""{AXIS}, allv AS (SELECT ts, instrument_id, bar, 'mom' AS factor, mom AS value FROM wide UNION ALL SELECT ts, instrument_id, bar, 'vol', CASE WHEN instrument_id LIKE '%7' THEN NULL ELSE vol END FROM wide),
+  hb AS (SELECT x.*, y.value AS was, x.value IS NOT NULL AND y.value IS NOT NULL AS common FROM allv x LEFT JOIN allv y ON y.factor = x.factor AND y.instrument_id = x.instrument_id AND y.bar = x.bar - 1),
+  hr AS (SELECT *, CASE WHEN common THEN {ranked('value', 'ts, factor, common')} END AS a, CASE WHEN common THEN {ranked('was', 'ts, factor, common')} END AS b, avg(value) OVER (PARTITION BY ts, factor) AS mu FROM hb)"""
+
+
+def sick(spark, sf):
+    """Some values of one factor made infinite."""
+    cells = wide(spark, sf).unpivot([TS, ID], ["mom", "vol"], "factor", "value")
+    return cells.withColumn("value", F.when((F.col("factor") == "vol") & F.col(ID).endswith("7"), float("inf")).otherwise(F.col("value")))
+
+
+q("factor_health", (HEALTH, f"""SELECT ts, factor, count(*) - count(value) AS anomalies, (count(*) - count(value)) / count(*)::DOUBLE AS anomaly_rate,
+  CASE WHEN count(value) >= 2 THEN stddev_pop(value) ELSE 0 END AS dispersion, CASE WHEN count(value) >= 2 AND stddev_pop(value) > 1e-12 THEN avg(pow(value - mu, 4)) / pow(stddev_pop(value), 4) - 3 ELSE 0 END AS kurt,
+  count(value) AS names, CASE WHEN max(bar) > 0 THEN (count(*) FILTER (common AND value = was))::DOUBLE END AS stuck,
+  CASE WHEN count(*) FILTER (common) >= 3 THEN coalesce(1 - ({corr('a', 'b')}), 0) WHEN count(*) FILTER (common) > 0 THEN 0 END AS turnover FROM hr GROUP BY 1, 2"""),
+  lambda s, sf: Q.health(sick(s, sf), axis(s, sf)), ["anomaly_rate", "dispersion", "kurt", "turnover"])
+SCORE = """, z AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM vals WINDOW w AS (PARTITION BY ts, factor)),
+  score AS (SELECT ts, instrument_id, CASE WHEN count(z) = 2 THEN sum(z * CASE factor WHEN 'mom' THEN 0.7 ELSE -0.3 END) END AS score FROM z GROUP BY 1, 2)"""
 q("composite_spread", (SCORE + """, pl AS (SELECT *, count(*) OVER (PARTITION BY ts, horizon) AS n, row_number() OVER (PARTITION BY ts, horizon ORDER BY score, instrument_id) AS lo,
   row_number() OVER (PARTITION BY ts, horizon ORDER BY score DESC, instrument_id DESC) AS hi FROM score JOIN rets USING (ts, instrument_id) WHERE score IS NOT NULL)""",
   "SELECT ts, horizon, avg(fwd_ret) FILTER (hi <= greatest(1, floor(n * 0.2))) - avg(fwd_ret) FILTER (lo <= greatest(1, floor(n * 0.2))) AS spread FROM pl WHERE n >= 20 GROUP BY 1, 2"),
