@@ -132,44 +132,70 @@ def scores(valid: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
 
 
 # ---- duplicates
-def greedy(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+#: open edges that one task finishes by a plain walk
+SMALL_REST = 200_000
+
+
+def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Walk nodes in the order of ``place`` and keep each that has no kept neighbour before it; with ``kept``.
 
-    The walk is done in rounds over the whole graph: a node is kept once all its earlier neighbours are dropped, and
-    dropped once one of them is kept. ``nodes(id, place, fixed)``; fixed nodes are kept from the start.
+    The walk is done in rounds over the whole graph: a node is kept once all its earlier neighbours are dropped, and dropped once one of them
+    is kept. There are as many rounds as it takes; once at most ``SMALL_REST`` edges between undecided nodes are left (a long chain of
+    neighbours, say), one task walks these. ``nodes(id, place, fixed)``; fixed nodes are kept from the start.
     """
     e = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     p = nodes.select("id", "place", "fixed")
     before = (e.join(p.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("fixed").alias("fa")), "a")
               .join(p.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("fixed").alias("fb")), "b")
-              .where((~F.col("fa")) & (F.col("fb") | (F.col("pb") < F.col("pa")))).select("a", "b"))
+              .where((~F.col("fa")) & (F.col("fb") | (F.col("pb") < F.col("pa")))).select("a", "b", "pa"))
     before = cut_lineage(before)
     state = cut_lineage(p.withColumn("kept", F.when(F.col("fixed"), F.lit(True))))
-    for _ in range(rounds):
+    while True:
         seen = before.join(state.select(F.col("id").alias("b"), "kept"), "b").groupBy("a").agg(
             F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"))
         nxt = state.join(seen, state["id"] == seen["a"], "left").select(
             "id", "place", "fixed", F.coalesce(
                 state["kept"], F.when(F.col("hit"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))).alias("kept"))
         state = cut_lineage(nxt)
-        if state.where("kept IS NULL").limit(1).isEmpty():
+        undecided = state.where("kept IS NULL").select("id")
+        if undecided.limit(1).isEmpty():
             return state
-    raise RuntimeError(f"not settled after {rounds} rounds; raise the number of rounds")
+        # what has a kept neighbour is as good as dropped; only edges between the others are left
+        lost = before.join(state.where("kept").select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        undecided = undecided.join(lost, "id", "left_anti")
+        rest = before.join(undecided.withColumnRenamed("id", "b"), "b", "left_semi").join(undecided.withColumnRenamed("id", "a"), "a", "left_semi")
+        if rest.limit(SMALL_REST + 1).count() <= SMALL_REST:
+            walked = rest.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_walk, f"id {dict(state.dtypes)['id']}, chosen boolean")
+            done = state.join(walked, "id", "left").join(lost.withColumn("hit", F.lit(True)), "id", "left")
+            return done.select("id", "place", "fixed", F.coalesce("kept", F.when(F.col("hit"), F.lit(False)), "chosen", F.lit(True)).alias("kept"))
+
+
+def _walk(edges: pd.DataFrame) -> pd.DataFrame:
+    """The plain walk over edges that lead to an earlier node. Nodes that are only reached have no earlier neighbour and are kept."""
+    earlier, place = edges.groupby("a")["b"].agg(list), edges.groupby("a")["pa"].first()
+    chosen: dict = {}
+    for node in place.sort_values(kind="stable").index:
+        chosen[node] = not any(chosen.get(b, True) for b in earlier[node])
+    return pd.DataFrame({"id": list(chosen), "chosen": list(chosen.values())})
 
 
 def near_duplicates(table: DataFrame, columns: list[str], tolerance: float = 1e-4) -> DataFrame:
-    """Factors whose metric vectors lie within ``tolerance``: ``kept`` marks the smallest ids. Equal vectors collapse first, near
-    ones meet in a grid of that width, so that no pairs of equal rows are made."""
-    exact = table.groupBy(*columns).agg(F.min("factor_id").alias("id"))
-    cell = [F.floor(F.col(c) / F.lit(tolerance)).alias(f"_{c}") for c in columns]
+    """Factors whose metric vectors lie within ``tolerance``: ``kept`` marks the smallest ids. A missing metric counts as 0.
+
+    Equal vectors collapse first. Near ones meet in a grid of that width over the first two columns; the distance takes them all.
+    """
+    filled = table.select("factor_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    exact = filled.groupBy(*columns).agg(F.min("factor_id").alias("id"))
+    grid = columns[:2]
+    cell = [F.floor(F.col(c) / F.lit(tolerance)).alias(f"_{c}") for c in grid]
     home = exact.select("id", *columns, *cell)
     around = F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(step)])
-                       for step in product((-1, 0, 1), repeat=len(columns))])
+                       for step in product((-1, 0, 1), repeat=len(grid))])
     near = home.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns], F.explode(around).alias("s"),
-                       *[f"_{c}" for c in columns])
-    near = near.select("b", *[f"{c}_b" for c in columns], *[(F.col(f"_{c}") + F.col("s")[f"s{i}"]).alias(f"_{c}") for i, c in enumerate(columns)])
+                       *[f"_{c}" for c in grid])
+    near = near.select("b", *[f"{c}_b" for c in columns], *[(F.col(f"_{c}") + F.col("s")[f"s{i}"]).alias(f"_{c}") for i, c in enumerate(grid)])
     square = sum(((F.col(c) - F.col(f"{c}_b")) ** 2 for c in columns), F.lit(0.0))
-    edges = home.join(near, [f"_{c}" for c in columns]).where((F.col("id") < F.col("b")) & (F.sqrt(square) < tolerance))
+    edges = home.join(near, [f"_{c}" for c in grid]).where((F.col("id") < F.col("b")) & (F.sqrt(square) < tolerance))
     kept = greedy(exact.select("id", F.col("id").alias("place"), F.lit(False).alias("fixed")), edges.select(F.col("id").alias("a"), "b"))
     return table.select("factor_id").join(kept.where("kept").select(F.col("id").alias("factor_id"), F.lit(True).alias("kept")),
                                           "factor_id", "left").fillna(False, ["kept"])
@@ -330,27 +356,27 @@ def regime_composite(wide: DataFrame, schedule: DataFrame, weights: DataFrame, n
 
 
 # ---- tuning
-def folds(bars: int, n_folds: int, test_share: float, gap: int, holdout_share: float, expanding: bool = True) -> list[dict]:
-    """Walk-forward folds by bar number, the holdout last (fold -1)."""
-    usable = bars - int(bars * holdout_share)
-    size = max(1, int(bars * test_share))
-    if usable - size * n_folds <= 0:
-        return []
-    out = []
-    for i in range(n_folds):
-        end = usable - (n_folds - 1 - i) * size
-        start = end - size
-        first = 0 if expanding else max(0, start - 2 * size)
-        out.append({"fold": i, "train_start": first, "train_end": max(first + 1, start - gap), "test_start": start, "test_end": end})
-    return out + [{"fold": -1, "train_start": 0, "train_end": usable, "test_start": usable, "test_end": bars}]
-
-
-def fold_icir(ic: DataFrame, axis: DataFrame, table: list[dict], at_least: int = 10) -> DataFrame:
-    """ICIR of each factor and horizon on the test bars of each fold. Folds never overlap, so each bar has one at most."""
-    fold = F.lit(None).cast("int")
-    for f in table:
-        fold = F.when((F.col(BAR) >= f["test_start"]) & (F.col(BAR) < f["test_end"]), F.lit(f["fold"])).otherwise(fold)
-    placed = ic.where("ic IS NOT NULL").join(axis, TS).withColumn("fold", fold).where("fold IS NOT NULL")
+def folds(axis: DataFrame, n_folds: int, test_share: float, gap: int, holdout_share: float, expanding: bool = True) -> DataFrame:
+    """(fold, train_start, train_end, test_start, test_end) by bar number, ends excluded; the holdout is fold -1.
+
+    The bars are counted on ``axis(ts, bar)``. Test parts of one size lie side by side and end where the holdout begins; a training part ends ``gap`` bars
+    before its test part and begins with the first bar or, rolling, two test sizes before. No fold if the test parts would take all bars.
+    """
+    size = axis.agg((F.max(BAR) + 1).alias("bars")).select(
+        "bars", (F.col("bars") - F.floor(F.col("bars") * holdout_share)).alias("held"), F.greatest(F.lit(1), F.floor(F.col("bars") * test_share)).alias("test"))
+    size = size.where(F.col("held") > n_folds * F.col("test"))
+    test_start = F.expr(f"held - ({n_folds} - fold) * test")
+    first = F.lit(0) if expanding else F.greatest(F.lit(0), test_start - 2 * F.col("test"))
+    parts = size.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).select(
+        "fold", first.alias("train_start"), F.greatest(first + 1, test_start - gap).alias("train_end"), test_start.alias("test_start"), (test_start + F.col("test")).alias("test_end"))
+    last = size.select(F.lit(-1).alias("fold"), F.lit(0).alias("train_start"), F.col("held").alias("train_end"), F.col("held").alias("test_start"), F.col("bars").alias("test_end"))
+    return parts.select(*[F.col(c).cast("int") for c in parts.columns]).unionByName(last.select(*[F.col(c).cast("int") for c in parts.columns]))
+
+
+def fold_icir(ic: DataFrame, axis: DataFrame, table: DataFrame, at_least: int = 10) -> DataFrame:
+    """ICIR of each factor and horizon on the test bars of each fold of ``folds``. Test parts never overlap, so each bar has one at most."""
+    bars = table.where("test_end > test_start").select("fold", F.explode(F.sequence("test_start", F.col("test_end") - 1)).alias(BAR))
+    placed = ic.where("ic IS NOT NULL").join(axis.join(bars, BAR), TS)
     return placed.groupBy("factor", "horizon", "fold").agg(
         F.when(F.count(F.lit(1)) >= at_least, ratio(F.avg("ic"), F.stddev_samp("ic"))).alias("icir"),
         F.avg("ic").alias("ic_mean"), F.count(F.lit(1)).alias("n"))
@@ -364,10 +390,11 @@ def grid_best(fold_table: DataFrame, k: int) -> DataFrame:
 
 
 def stability(grid: DataFrame, parameter: str = "parameter") -> DataFrame:
-    """Least ICIR of the two neighbours on the grid over the value's own."""
+    """Least ICIR of the neighbours on the grid over the value's own; 1 where there is no neighbour."""
     w = Window.partitionBy("horizon").orderBy(parameter)
     low, high = F.abs(F.lag("icir").over(w)), F.abs(F.lead("icir").over(w))
-    return grid.withColumn("stability", ratio(F.least(low, high), F.abs("icir")))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("horizon")) == 1
+    return grid.withColumn("stability", F.when(alone, 1.0).otherwise(ratio(F.least(low, high), F.abs("icir"))))
 
 
 def corrected(table: DataFrame, tests: int, p: str = "p") -> DataFrame:

@@ -19,8 +19,8 @@ PERIODS = ["4h", "8h", "24h"]
 
 def factors(spark, sf):
     k = F.col("p_partkey")
-    return table(spark, sf, "part").where("p_partkey < 400").select(
-        F.concat(F.lit("F"), k % 120).alias("factor_id"), F.concat(F.lit("src"), k % 3).alias("source"),
+    return table(spark, sf, "part").select(
+        F.concat(F.lit("F"), F.floor(k / 5)).alias("factor_id"), F.concat(F.lit("src"), k % 3).alias("source"),
         F.element_at(F.array(*map(F.lit, ("candidate", "active", "archived"))), (k % 3 + 1).cast("int")).alias("status"),
         F.col("p_brand").alias("prototype"), F.concat(F.lit("Rank( close, "), F.col("p_size") % 9, F.lit(")")).alias("expression"),
         F.array(F.col("p_brand"), F.concat(F.lit("t"), k % 4)).alias("tags"), k.alias("part"))
@@ -31,21 +31,21 @@ def one_each(df):
 
 
 def metrics(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_partkey < 400")
+    li = table(spark, sf, "lineitem")
     run = F.col("l_suppkey") % 4
-    return li.groupBy(F.concat(F.lit("R"), run).alias("run_id"), run.alias("created"), F.concat(F.lit("F"), F.col("l_partkey") % 120).alias("factor_id"),
+    return li.groupBy(F.concat(F.lit("R"), run).alias("run_id"), run.alias("created"), F.concat(F.lit("F"), F.floor(F.col("l_partkey") / 5)).alias("factor_id"),
                       F.element_at(F.array(*map(F.lit, PERIODS)), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("period")).agg(
         (F.avg("l_discount") - 0.05).alias("icir"), (F.avg("l_tax") - 0.04).alias("ic_mean"), (F.avg("l_quantity") / 25 - 1).alias("monotonicity"),
         (F.avg("l_tax") * 5 - F.avg("l_discount") * 4).alias("ar1"), (F.avg("l_extendedprice") / 20000 - 1.5).alias("t_nw"), (F.avg("l_discount") * 8).alias("p_nw"),
         (F.avg("l_quantity") / 50).alias("win_rate"), (F.avg("l_tax") * 10).alias("linearity"), F.lit(0.6).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
-REG = """WITH fac AS MATERIALIZED (SELECT 'F' || (p_partkey % 120) AS factor_id, 'src' || (p_partkey % 3) AS source, ['candidate', 'active', 'archived'][p_partkey % 3 + 1] AS status,
-  p_brand AS prototype, 'Rank( close, ' || (p_size % 9) || ')' AS expression, [p_brand, 't' || (p_partkey % 4)] AS tags, p_partkey AS part FROM part WHERE p_partkey < 400),
-met AS MATERIALIZED (SELECT 'R' || (l_suppkey % 4) AS run_id, l_suppkey % 4 AS created, 'F' || (l_partkey % 120) AS factor_id, ['4h', '8h', '24h'][l_linenumber % 3 + 1] AS period,
+REG = """WITH fac AS MATERIALIZED (SELECT 'F' || (p_partkey // 5) AS factor_id, 'src' || (p_partkey % 3) AS source, ['candidate', 'active', 'archived'][p_partkey % 3 + 1] AS status,
+  p_brand AS prototype, 'Rank( close, ' || (p_size % 9) || ')' AS expression, [p_brand, 't' || (p_partkey % 4)] AS tags, p_partkey AS part FROM part),
+met AS MATERIALIZED (SELECT 'R' || (l_suppkey % 4) AS run_id, l_suppkey % 4 AS created, 'F' || (l_partkey // 5) AS factor_id, ['4h', '8h', '24h'][l_linenumber % 3 + 1] AS period,
   avg(l_discount) - 0.05::DOUBLE AS icir, avg(l_tax) - 0.04::DOUBLE AS ic_mean, avg(l_quantity) / 25 - 1 AS monotonicity, avg(l_tax) * 5 - avg(l_discount) * 4 AS ar1,
   avg(l_extendedprice) / 20000 - 1.5::DOUBLE AS t_nw, avg(l_discount) * 8 AS p_nw, avg(l_quantity) / 50 AS win_rate, avg(l_tax) * 10 AS linearity, 0.6::DOUBLE AS coverage, count(*) AS n
-  FROM lineitem WHERE l_partkey < 400 GROUP BY 1, 2, 3, 4),
+  FROM lineitem GROUP BY 1, 2, 3, 4),
 facone AS (SELECT * EXCLUDE (rn, part) FROM (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY part DESC) AS rn FROM fac) WHERE rn = 1),
 lastrun AS (SELECT m.* FROM met m JOIN (SELECT factor_id, max(created) AS created FROM met GROUP BY 1) USING (factor_id, created)),
 ok AS (SELECT * FROM lastrun WHERE abs(icir) >= 0.001 AND abs(t_nw) >= 0.05 AND p_nw <= 0.6 AND (win_rate > 0.5 OR win_rate < 0.495) AND linearity >= 0.02 AND coverage >= 0.3 AND n >= 3)"""
@@ -99,9 +99,26 @@ q("composite_scores", (f""", rk AS (SELECT *, {share('abs(icir)', 'period')} AS
   g AS (SELECT factor_id, avg(part) AS period_score, avg(pred) AS pred_score, avg(mono) AS mono_score, CASE WHEN max(part) > 0 THEN min(part) / max(part) ELSE 0 END AS consistency, avg(abs(ar1)) AS a, 1 AS one FROM pt GROUP BY 1),
   gt AS (SELECT * EXCLUDE (a, one), {share('a', 'one')} AS turnover FROM g)""", "SELECT *, 0.65 * period_score + 0.15 * consistency + 0.2 * turnover AS score FROM gt"),
   lambda s, sf: R.scores(R.passing(R.latest_run(metrics(s, sf)), LIMITS)), ["period_score", "pred_score", "mono_score", "consistency", "turnover", "score"])
-QUERIES["near_duplicates"] = (lambda s, sf: R.near_duplicates(R.latest_run(metrics(s, sf)).groupBy("factor_id").agg(
-    F.round(F.avg("icir"), 2).alias("x"), F.round(F.avg("ic_mean"), 2).alias("y")), ["x", "y"], 1e-4),
-    REG + """, v AS (SELECT factor_id, round(avg(icir), 2) AS x, round(avg(ic_mean), 2) AS y FROM lastrun GROUP BY 1) SELECT factor_id, factor_id = min(factor_id) OVER (PARTITION BY x, y) AS kept FROM v""")
+EIGHT = ["icir", "ic_mean", "monotonicity", "ar1", "t_nw", "p_nw", "win_rate", "linearity"]
+
+
+def fingerprints(spark, sf):
+    """Mean metrics per factor, some missing, and for every seventh factor one equal and one near copy."""
+    own = R.latest_run(metrics(spark, sf)).groupBy("factor_id").agg(*[F.avg(c).alias(c) for c in EIGHT])
+    number = F.substring("factor_id", 2, 20).cast("int")
+    own = own.withColumn("ar1", F.when(number % 3 != 0, F.col("ar1")))
+    some = own.where(number % 7 == 0)
+    equal = some.withColumn("factor_id", F.concat(F.lit("G"), "factor_id"))
+    near = some.withColumn("factor_id", F.concat(F.lit("H"), "factor_id")).withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) + 3e-5 for c in EIGHT})
+    return own.unionByName(equal).unionByName(near)
+
+
+_mean8 = ", ".join(f"avg({c}) AS {c}" if c != "ar1" else "CASE WHEN substr(factor_id, 2)::INT % 3 <> 0 THEN avg(ar1) END AS ar1" for c in EIGHT)
+q("near_duplicates", (f""", fp AS (SELECT factor_id, {_mean8} FROM lastrun GROUP BY 1), f7 AS (SELECT * FROM fp WHERE substr(factor_id, 2)::INT % 7 = 0),
+  v AS MATERIALIZED (SELECT factor_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in EIGHT)} FROM (SELECT * FROM fp UNION ALL SELECT * REPLACE ('G' || factor_id AS factor_id) FROM f7
+    UNION ALL SELECT 'H' || factor_id, {', '.join(f'coalesce({c}, 0) + 3e-5::DOUBLE' for c in EIGHT)} FROM f7))""",
+  f"""SELECT factor_id, NOT EXISTS (SELECT 1 FROM v b WHERE b.factor_id < v.factor_id AND sqrt({' + '.join(f'pow(b.{c} - v.{c}, 2)' for c in EIGHT)}) < 1e-4) AS kept FROM v"""),
+  lambda s, sf: R.near_duplicates(fingerprints(s, sf), EIGHT, 1e-4))
 q("same_expression", "SELECT first(factor_id ORDER BY source <> 'src2', factor_id) AS kept, count(*) AS size FROM fac GROUP BY lower(replace(expression, ' ', '')) HAVING count(*) > 1",
   lambda s, sf: R.same_expression(factors(s, sf), "src2"))
 q("same_template", "SELECT 'rank(close,#)' AS template, count(*) AS size, count(DISTINCT expression) AS variants FROM fac", lambda s, sf: R.same_template(factors(s, sf)))
@@ -169,18 +186,22 @@ q("regime_composite", (LABELS + """, z AS (SELECT *, (value - avg(value) OVER w)
   "SELECT ts, instrument_id, sum(w * z) / sum(abs(w)) AS composite FROM wt GROUP BY 1, 2"),
   lambda s, sf: R.regime_composite(wide(s, sf), labels(s, sf).where("ts >= '1996-01-01'"),
                                    s.createDataFrame([("calm", "mom", 0.8), ("calm", "vol", -0.2)], "label string, factor string, weight double"), ["mom", "vol"]), ["composite"], BASE)
-FOLD = R.folds(83, 4, 0.15, 2, 0.1)
-_case = " ".join(f"WHEN bar >= {f['test_start']} AND bar < {f['test_end']} THEN {f['fold']}" for f in FOLD)
-FOLDS = IC + AXIS + f""", pf AS (SELECT ic.*, CASE {_case} END::INT AS fold FROM ic JOIN axis2 USING (ts) WHERE ic IS NOT NULL),
-  ft AS (SELECT factor, horizon, fold, CASE WHEN count(*) >= 10 THEN avg(ic) / stddev_samp(ic) END AS icir, avg(ic) AS ic_mean, count(*) AS n FROM pf WHERE fold IS NOT NULL GROUP BY 1, 2, 3)"""
-q("walk_forward_icir", (FOLDS, "SELECT * FROM ft"), lambda s, sf: R.fold_icir(ic(s, sf), axis(s, sf), FOLD), ["icir", "ic_mean"], BASE)
+def fold_table(spark, sf):
+    return R.folds(axis(spark, sf), 4, 0.15, 2, 0.1)
+
+
+FOLDS = IC + AXIS + """, fs AS (SELECT bars, bars - floor(bars * 0.1::DOUBLE) AS held, greatest(1, floor(bars * 0.15::DOUBLE)) AS size FROM (SELECT max(bar) + 1 AS bars FROM axis2)),
+  fd AS (SELECT i::INT AS fold, held - (4 - i) * size AS lo, held - (3 - i) * size AS hi FROM fs, range(4) t(i) WHERE held > 4 * size UNION ALL SELECT -1, held, bars FROM fs WHERE held > 4 * size),
+  pf AS (SELECT ic.*, fold FROM ic JOIN axis2 USING (ts) JOIN fd ON bar >= lo AND bar < hi WHERE ic IS NOT NULL),
+  ft AS (SELECT factor, horizon, fold, CASE WHEN count(*) >= 10 THEN avg(ic) / stddev_samp(ic) END AS icir, avg(ic) AS ic_mean, count(*) AS n FROM pf GROUP BY 1, 2, 3)"""
+q("walk_forward_icir", (FOLDS, "SELECT * FROM ft"), lambda s, sf: R.fold_icir(ic(s, sf), axis(s, sf), fold_table(s, sf)), ["icir", "ic_mean"], BASE)
 
 
 def grid_ic(spark, sf):
     grid = FactorSet({}, {f"n{n:02d}": (lambda o, n=n: o.close / o.ts_mean(o.close, n) - 1) for n in (3, 4, 5, 6, 8)})
     from barley.plans import quality as P
     p = panel(spark, sf, "month")
-    return R.fold_icir(P.information(grid.long(p), P.forward_returns(p, [1])), axis(spark, sf), FOLD)
+    return R.fold_icir(P.information(grid.long(p), P.forward_returns(p, [1])), axis(spark, sf), fold_table(spark, sf))
 
 
 _gs = FactorSet({}, {f"n{n:02d}": (lambda o, n=n: o.close / o.ts_mean(o.close, n) - 1) for n in (3, 4, 5, 6, 8)})
@@ -198,5 +219,5 @@ q("eligibility", """SELECT factor_id, count(*) AS periods FROM (SELECT *, row_nu
   AND abs(icir) >= 0.001 AND abs(t_nw) >= 0.05 AND p_nw <= 0.6 AND (win_rate > 0.5 OR win_rate < 0.495) AND linearity >= 0.02 AND coverage >= 0.3 AND n >= 3 GROUP BY 1""", lambda s, sf: R.eligible(metrics(s, sf), LIMITS))
 q("prototype_representatives", "SELECT prototype, first(factor_id ORDER BY abs(icir) DESC, factor_id DESC) AS factor_id, max(abs(icir)) AS icir FROM facone JOIN lastrun USING (factor_id) GROUP BY 1",
   lambda s, sf: R.representatives(one_each(factors(s, sf)), R.latest_run(metrics(s, sf))), ["icir"])
-q("not_yet_tuned", "SELECT factor_id, prototype FROM facone WHERE prototype NOT IN (SELECT prototype FROM fac GROUP BY 1 HAVING count(*) >= 18)",
-  lambda s, sf: R.not_yet_tuned(one_each(factors(s, sf)), factors(s, sf), 18).select("factor_id", "prototype"))
+q("not_yet_tuned", "SELECT factor_id, prototype FROM facone WHERE prototype NOT IN (SELECT prototype FROM fac GROUP BY 1 HAVING count(*) >= 80)",
+  lambda s, sf: R.not_yet_tuned(one_each(factors(s, sf)), factors(s, sf), 80).select("factor_id", "prototype"))
