@@ -40,12 +40,16 @@ def pair(values: DataFrame, returns: DataFrame) -> DataFrame:
     return values.join(returns, [TS, ID])
 
 
-def drop_outliers(pairs: DataFrame, z: float = 20.0, max_loss: float = 0.35) -> DataFrame:
+def drop_outliers(pairs: DataFrame, z: float = 20.0, max_loss: float = 0.35, expected: DataFrame | None = None) -> DataFrame:
     """Leave out returns more than ``z`` deviations from their horizon's mean. ``loss`` is the share left out, and
-    ``lost_too_much`` marks horizons where it is over the limit."""
+    ``lost_too_much`` marks horizons where it is over the limit. Rows that the join with returns lost count where ``expected(factor, n)`` gives the
+    number of values each factor had."""
     stats = pairs.groupBy(*SERIES).agg(F.avg("fwd_ret").alias("m"), F.stddev_samp("fwd_ret").alias("s"), F.count("fwd_ret").alias("n"))
     kept = pairs.join(stats, SERIES).where(F.abs(F.col("fwd_ret") - F.col("m")) <= F.lit(z) * F.col("s"))
-    left = kept.groupBy(*SERIES).agg((1 - F.count(F.lit(1)) / F.first("n")).alias("loss"))
+    left = kept.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_kept"), F.first("n").alias("_of"))
+    if expected is not None:
+        left = left.join(expected.select("factor", F.col("n").alias("_all")), "factor").withColumn("_of", F.col("_all"))
+    left = left.select(*SERIES, (1 - F.col("_kept") / F.col("_of")).alias("loss"))
     return (kept.drop("m", "s", "n").join(left, SERIES).withColumn("lost_too_much", F.col("loss") > max_loss))
 
 
@@ -109,7 +113,8 @@ def _lag_products(series: DataFrame, lags: DataFrame, value: str = "ic") -> Data
 
 
 def newey_west(ic: DataFrame) -> DataFrame:
-    """t of the mean under autocorrelation (Bartlett weights), and the effective number of observations."""
+    """t of the mean under autocorrelation (Bartlett weights), the effective number of observations, and the two-sided p with one degree of freedom
+    less than these (one at least)."""
     clean = _indexed(ic)
     stats = clean.groupBy(*SERIES).agg(F.avg("ic").alias("m"), F.var_pop("ic").alias("g0"), F.count(F.lit(1)).alias("n"))
     base = F.greatest(F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))), F.lit(1))
@@ -124,8 +129,9 @@ def newey_west(ic: DataFrame) -> DataFrame:
     out = limits.join(weighted, SERIES, "left").withColumn("v", F.col("g0") + F.coalesce("w", F.lit(0.0)))
     se = F.when(F.col("v") > 0, F.sqrt(F.col("v") / F.col("n")))
     eff = F.least(F.greatest(F.bround(ratio(F.col("n") * F.col("g0"), F.col("v"))), F.lit(1.0)), F.col("n")).cast("bigint")
-    return out.select(*SERIES, F.when(se >= 1e-15, F.col("m") / se).alias("nw_t"),
-                      F.when(se >= 1e-15, F.when(F.col("v") > 1e-15, eff).otherwise(F.col("n"))).alias("n_eff"), "lags")
+    out = out.select(*SERIES, F.when(se >= 1e-15, F.col("m") / se).alias("nw_t"),
+                     F.when(se >= 1e-15, F.when(F.col("v") > 1e-15, eff).otherwise(F.col("n"))).alias("n_eff"), "lags")
+    return out.withColumn("nw_p", p_value(F.col("nw_t"), F.greatest(F.col("n_eff") - 1, F.lit(1)).cast("double")))
 
 
 def win_rate(ic: DataFrame) -> DataFrame:
@@ -297,15 +303,22 @@ def qq_points(ic: DataFrame, points: int = 9) -> DataFrame:
 
 
 def metrics(values: DataFrame, returns: DataFrame, panel: DataFrame, buckets: int = 5) -> DataFrame:
-    """One row per factor and horizon: IC summary, significance, win rate, linearity, persistence, monotonicity, coverage."""
+    """One row per factor and horizon: IC summary, significance with and without autocorrelation, win rate, linearity, persistence, half life,
+    monotonicity, coverage."""
     pairs = pair(values, returns)
     ic = information(values, returns)
-    out = summary(ic)
-    for part in (newey_west(ic), win_rate(ic), linearity(ic), ar1(ic), monotonicity(with_buckets(pairs, buckets)), coverage(pairs, panel)):
+    out = with_p(summary(ic))
+    for part in (newey_west(ic), win_rate(ic), linearity(ic), ar1(ic), half_life(ic), monotonicity(with_buckets(pairs, buckets)), coverage(pairs, panel)):
         out = out.join(part, SERIES, "left")
     return out
 
 
+def registry_rows(table: DataFrame, run_id: str, created) -> DataFrame:
+    """Rows of ``metrics`` under the names that the registry's filters and scores read."""
+    return table.withColumnsRenamed({"factor": "factor_id", "mean": "ic_mean", "std": "ic_std", "nw_t": "t_nw", "nw_p": "p_nw"}).withColumn(
+        "period", F.col("horizon").cast("string")).drop("horizon").withColumns({"run_id": F.lit(run_id), "created": F.lit(created)})
+
+
 # ---- regimes
 def ic_by_regime(ic: DataFrame, labels: DataFrame) -> DataFrame:
     split = ic.join(labels, TS).groupBy(*SERIES, "label").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ def local_session(cpus: int = 8, app: str = "barley", **extra: str) -> SparkSess
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,9 +29,12 @@ def local_session(cpus: int = 8, app: str = "barley", **extra: str) -> SparkSess
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where none is set (tests, a laptop) a temporary one is made."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is set, a local master gets a temporary one and a cluster an error: its executors would
+    not see a folder of the driver."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -39,19 +39,28 @@ def bars_to_catalog(raw: DataFrame, path: str, price_digits: int = 2, size_digit
     prices = [F.bround(c, price_digits).alias(c) for c in ("open", "high", "low", "close")]
     out = raw.select(F.concat("symbol", F.lit(venue)).alias(ID), F.timestamp_millis("timestamp").alias(TS), *prices,
                      F.bround("volume", size_digits).alias("volume"), "quote_volume")
-    out.write.mode("overwrite").partitionBy(ID).parquet(path)
+    out.repartition(ID, F.pmod(F.month(TS), F.lit(4))).write.mode("overwrite").partitionBy(ID).parquet(path)
 
 
-def side_to_catalog(spark: SparkSession, csv: str, path: str, instrument: str, field: str, column: str = "value",
+def _write_catalog(rows: DataFrame, path: str) -> None:
+    """One folder per instrument. Folders that ``rows`` touch are replaced, so that a second run does not double them; rows of an instrument meet
+    in few files (a hot one's are spread over some by their day)."""
+    day = F.pmod(F.datediff(TS, F.lit("1970-01-01")), F.lit(4))
+    rows.repartition(ID, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(ID).parquet(path)
+
+
+def side_to_catalog(spark: SparkSession, csv: str, path: str, field: str, instrument: str | None = None, column: str = "value",
                     time: str = "timestamp", exact: bool = False) -> None:
-    """A ``time,value`` CSV of one instrument (funding rate, open interest, vendor metric) to a table.
+    """``time,value`` CSVs (funding rate, open interest, vendor metric) to a table, many instruments in one job.
 
-    ``exact`` keeps decimals as they are written; otherwise values are doubles.
+    The instrument is the folder of a file (``<symbol>`` or ``symbol=<symbol>``), or ``instrument`` for all of them. ``exact`` keeps decimals as they are
+    written; otherwise values are doubles.
     """
     value_type = "decimal(38,18)" if exact else "double"
-    rows = spark.read.option("header", True).schema(f"{time} bigint, {column} {value_type}").csv(csv)
-    rows.select(F.lit(instrument).alias(ID), F.timestamp_millis(time).alias(TS), F.col(column).alias(field)) \
-        .write.mode("append").partitionBy(ID).parquet(path)
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).schema(f"{time} bigint, {column} {value_type}").csv(csv)
+    folder = F.regexp_extract(F.input_file_name(), r"(?:symbol=)?([^/=]+)/[^/]*$", 1)
+    rows = rows.select((folder if instrument is None else F.lit(instrument)).alias(ID), F.timestamp_millis(time).alias(TS), F.col(column).alias(field))
+    _write_catalog(rows, path)
 
 
 def ticks_to_catalog(spark: SparkSession, csv: str, path: str, kind: str = "trades") -> None:
@@ -59,7 +68,7 @@ def ticks_to_catalog(spark: SparkSession, csv: str, path: str, kind: str = "trad
     schema = TRADE_CSV if kind == "trades" else QUOTE_CSV
     rows = spark.read.schema(schema).option("header", True).csv(csv)
     rows = rows.withColumn(TS, F.timestamp_micros("timestamp")).withColumnRenamed("symbol", ID)
-    rows.drop("timestamp", "local_timestamp", "exchange").write.mode("append").partitionBy(ID).parquet(path)
+    _write_catalog(rows.drop("timestamp", "local_timestamp", "exchange"), path)
 
 
 def definition_hash(definitions: dict) -> str:

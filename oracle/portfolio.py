@@ -238,11 +238,11 @@ q("drawdown_rules", (", pk AS (SELECT *, max(equity) OVER (PARTITION BY account
 def marked(s, sf):
     pos = table(s, sf, "lineitem").select((F.col("l_orderkey") % 40).alias("account"), F.concat(F.lit("S"), "l_suppkey").alias(ID), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("entry"))
     price = table(s, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias(ID), F.abs("s_acctbal").alias("price"))
-    balance = table(s, sf, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("balance"))
+    balance = table(s, sf, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("balance"))
     return P.marked_equity(balance, pos, price, "account").select("account", "balance", F.round("equity", 3).alias("equity"))
 
 
-QUERIES["marked_equity"] = (marked, """SELECT account, balance, round(balance + coalesce(u, 0), 3) AS equity FROM (SELECT c_custkey AS account, c_acctbal AS balance FROM customer WHERE c_custkey < 50) LEFT JOIN (
+QUERIES["marked_equity"] = (marked, """SELECT account, balance, round(balance + coalesce(u, 0), 3) AS equity FROM (SELECT c_custkey AS account, c_acctbal AS balance FROM customer) LEFT JOIN (
   SELECT l_orderkey % 40 AS account, sum(l_quantity * (abs(s_acctbal) - l_extendedprice / l_quantity)) AS u FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) USING (account)""")
 q("position_timeline", "SELECT t, count(*) FILTER (side = 'long') AS longs, count(*) FILTER (side = 'short') AS shorts, coalesce(sum(value) FILTER (side = 'long'), 0) AS long_value, coalesce(sum(value) FILTER (side = 'short'), 0) AS short_value FROM active GROUP BY 1",
   lambda s, sf: P.position_timeline(sample_times(s, sf), positions(s, sf)), ["long_value", "short_value"], f"WITH {POSITIONS_SQL}")

@@ -96,14 +96,30 @@ q("ic_summary", (IC, f"""SELECT {S}, avg(ic) AS mean, stddev_samp(ic) AS std, av
   avg(pow(ic - m, 4)) / pow(stddev_pop(ic), 4) - 3 AS kurt, count(ic) AS n, count(*) - count(ic) AS missing
   FROM (SELECT *, avg(ic) OVER (PARTITION BY {S}) AS m FROM ic) GROUP BY 1, 2"""),
   lambda s, sf: Q.summary(ic(s, sf)), ["mean", "std", "icir", "t", "skew", "kurt"])
-QUERIES["ic_p_value"] = (lambda s, sf: rounded(Q.with_p(Q.summary(ic(s, sf))).select("factor", "horizon", "t", "n", "p")), None)
+
+
+def tail(t, df):
+    """SQL of the two-sided Student tail for whole degrees of freedom: the finite series in the angle atan(t / sqrt(df))."""
+    angle, c2 = f"atan(abs({t}) / sqrt({df}))", f"({df} / ({df} + ({t}) * ({t})))"
+    odd = f"exp(lgamma(k + 1.0::DOUBLE) + lgamma(1.5::DOUBLE) - lgamma(k + 1.5::DOUBLE) + k * ln({c2}))"
+    even = f"exp(lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE) + k * ln({c2}))"
+    return (f"CASE WHEN ({df}) % 2 = 1 THEN 1 - 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range(0, (({df}) - 1) // 2), lambda k: {odd})), 0)) "
+            f"ELSE 1 - sin({angle}) * list_sum(list_transform(range(0, ({df}) // 2), lambda k: {even})) END")
+
+
+SUMMARY = f"""SELECT {S}, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / stddev_samp(ic) AS icir, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t,
+  avg(pow(ic - m, 3)) / pow(stddev_pop(ic), 3) AS skew, avg(pow(ic - m, 4)) / pow(stddev_pop(ic), 4) - 3 AS kurt, count(ic) AS n, count(*) - count(ic) AS missing
+  FROM (SELECT *, avg(ic) OVER (PARTITION BY {S}) AS m FROM ic) GROUP BY 1, 2"""
+q("ic_p_value", (IC + f", sm AS ({SUMMARY})", f"SELECT {S}, t, n, {tail('t', '(n - 1)')} AS p FROM sm"),
+  lambda s, sf: Q.with_p(Q.summary(ic(s, sf))).select("factor", "horizon", "t", "n", "p"), ["t", "p"])
 NW = f"""{IC}, e AS MATERIALIZED (SELECT {S}, ts, ic - avg(ic) OVER (PARTITION BY {S}) AS e, row_number() OVER (PARTITION BY {S} ORDER BY ts) AS i FROM ic WHERE ic IS NOT NULL),
   st AS (SELECT {S}, count(*) AS n, avg(ic) AS m, var_pop(ic) AS g0, least(greatest(floor(4 * pow(count(*) / 100.0, 2.0 / 9)), 10), count(*) // 3)::INT AS lags FROM ic WHERE ic IS NOT NULL GROUP BY 1, 2),
   g AS (SELECT {S}, l, avg(a.e * b.e) AS g FROM e a JOIN st USING ({S}) CROSS JOIN range(1, 200) t(l) JOIN e b USING ({S}) WHERE l <= lags AND b.i = a.i + l GROUP BY 1, 2, 3),
-  v AS (SELECT {S}, g0 + coalesce(sum(2 * (1 - l / (lags + 1.0)) * g), 0) AS v FROM st LEFT JOIN g USING ({S}) GROUP BY {S}, g0)"""
+  v AS (SELECT {S}, g0 + coalesce(sum(2 * (1 - l / (lags + 1.0)) * g), 0) AS v FROM st LEFT JOIN g USING ({S}) GROUP BY {S}, g0),
+  nwt AS (SELECT *, least(greatest(round_even(n * g0 / v, 0), 1), n)::BIGINT AS n_eff FROM st JOIN v USING ({S}) WHERE v > 0)"""
 q("newey_west", (NW, f"""SELECT {S}, CASE WHEN v > 0 THEN m / sqrt(v / n) END AS nw_t,
-  CASE WHEN v > 0 THEN least(greatest(round_even(n * g0 / v, 0), 1), n)::BIGINT END AS n_eff, lags FROM st JOIN v USING ({S})"""),
-  lambda s, sf: Q.newey_west(ic(s, sf)), ["nw_t"])
+  n_eff, lags, {tail('m / sqrt(v / n)', 'greatest(n_eff - 1, 1)')} AS nw_p FROM nwt"""),
+  lambda s, sf: Q.newey_west(ic(s, sf)), ["nw_t", "nw_p"])
 q("bars_per_day", ("", "SELECT 1 AS per_day, 'all' AS factor"), lambda s, sf: Q.bars_per_day(axis(s, sf).withColumn("factor", F.lit("all")), ["factor"]), [])
 q("win_rate", (IC, f"SELECT {S}, avg((ic > 0)::INT) AS win_rate FROM ic GROUP BY 1, 2"), lambda s, sf: Q.win_rate(ic(s, sf)), ["win_rate"])
 q("factor_coverage", ("", f"""SELECT {S}, count(*) / (SELECT count(DISTINCT ts) * count(DISTINCT instrument_id) FROM panel)::DOUBLE AS coverage FROM pairs GROUP BY 1, 2"""),
@@ -152,8 +168,17 @@ q("factor_distribution", ("", "SELECT factor, CASE WHEN value < -50 THEN 0 WHEN
   lambda s, sf: Q.histogram(values(s, sf), "value", ["factor"], -50.0, 50.0, 10), [])
 QUERIES["qq_points"] = (lambda s, sf: rounded(Q.qq_points(ic(s, sf))), f"""{BASE} {IC}, qs AS (SELECT {S}, k::INT AS k, quantile_cont(ic, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])[k] AS sample FROM ic CROSS JOIN range(1, 10) t(k) GROUP BY {S}, k)
   SELECT {S}, k, {rs('sample')} AS sample, {rs('[-1.2815515655446004, -0.8416212335729143, -0.5244005127080407, -0.2533471031357997, 0.0, 0.2533471031357997, 0.5244005127080407, 0.8416212335729143, 1.2815515655446004][k]::DOUBLE')} AS normal FROM qs""")
-QUERIES["metrics_table"] = (lambda s, sf: rounded(Q.metrics(values(s, sf), returns(s, sf), panel(s, sf, "month")).select(
-    "factor", "horizon", "mean", "icir", "nw_t", "win_rate", "linearity", "ar1", "monotonicity", "coverage")), None)
+ALL_METRICS = NW + MEANS + f""", sm AS ({SUMMARY}), wr AS (SELECT {S}, avg((ic > 0)::INT) AS win_rate FROM ic GROUP BY 1, 2),
+  li AS (SELECT {S}, regr_r2(c, i) AS linearity FROM (SELECT {S}, sum(ic) OVER w AS c, row_number() OVER w AS i FROM ic WHERE ic IS NOT NULL WINDOW w AS (PARTITION BY {S} ORDER BY ts)) GROUP BY 1, 2),
+  ar AS (SELECT {S}, {corr('x', 'y')} AS ar1 FROM (SELECT {S}, CASE WHEN lag(ic) OVER w IS NOT NULL THEN ic END AS x, lag(ic) OVER w AS y FROM ic WHERE ic IS NOT NULL WINDOW w AS (PARTITION BY {S} ORDER BY ts)) GROUP BY 1, 2),
+  mo AS (SELECT {S}, {corr('a', 'b')} AS monotonicity FROM (SELECT {S}, {ranked('bucket', S)} AS a, {ranked('mean_ret', S)} AS b FROM means) GROUP BY 1, 2),
+  co AS (SELECT {S}, count(*) / (SELECT count(DISTINCT ts) * count(DISTINCT instrument_id) FROM panel)::DOUBLE AS coverage FROM pairs GROUP BY 1, 2),
+  mt AS (SELECT sm.factor, sm.horizon, mean, std, icir, t, skew, kurt, sm.n, missing, {tail('t', '(sm.n - 1)')} AS p, m / sqrt(v / nwt.n) AS nw_t, n_eff,
+    {tail('m / sqrt(v / nwt.n)', 'greatest(n_eff - 1, 1)')} AS nw_p, win_rate, linearity, ar1, monotonicity, coverage
+    FROM sm LEFT JOIN nwt USING ({S}) LEFT JOIN wr USING ({S}) LEFT JOIN li USING ({S}) LEFT JOIN ar USING ({S}) LEFT JOIN mo USING ({S}) LEFT JOIN co USING ({S}))"""
+METRICS = ["mean", "std", "icir", "t", "skew", "kurt", "p", "nw_t", "nw_p", "win_rate", "linearity", "ar1", "monotonicity", "coverage"]
+q("metrics_table", (ALL_METRICS, "SELECT * FROM mt"),
+  lambda s, sf: Q.metrics(values(s, sf), returns(s, sf), panel(s, sf, "month")).drop("lags", "half_life"), METRICS)
 
 LABELS = ", labels2 AS (SELECT ts, CASE WHEN bar % 7 < 4 THEN 'calm' ELSE 'wild' END AS label FROM (SELECT DISTINCT ts, bar FROM panel))"
 

@@ -221,3 +221,16 @@ q("prototype_representatives", "SELECT prototype, first(factor_id ORDER BY abs(i
   lambda s, sf: R.representatives(one_each(factors(s, sf)), R.latest_run(metrics(s, sf))), ["icir"])
 q("not_yet_tuned", "SELECT factor_id, prototype FROM facone WHERE prototype NOT IN (SELECT prototype FROM fac GROUP BY 1 HAVING count(*) >= 80)",
   lambda s, sf: R.not_yet_tuned(one_each(factors(s, sf)), factors(s, sf), 80).select("factor_id", "prototype"))
+PROMOTED = {"icir": 0.01, "t_nw": 0.1, "p_nw": 0.95, "win_low": 0.495, "win_high": 0.5, "linearity": 0.01, "coverage": 0.2, "n": 10}
+
+
+def promoted(spark, sf):
+    """From panel to selected factors: metrics, registry rows, filters."""
+    from barley.plans import quality as P
+    rows = P.registry_rows(P.metrics(Q.values(spark, sf), Q.returns(spark, sf), panel(spark, sf, "month")), "R1", 1)
+    return R.hard_filter(rows, PROMOTED, 1).withColumn("valid_periods", F.array_join("valid_periods", ","))
+
+
+q("promoted_factors", (Q.ALL_METRICS, """SELECT factor AS factor_id, array_to_string(list_sort(list(horizon::VARCHAR)), ',') AS valid_periods FROM mt
+  WHERE abs(icir) >= 0.01 AND abs(nw_t) >= 0.1 AND nw_p <= 0.95 AND (win_rate > 0.5 OR win_rate < 0.495) AND linearity >= 0.01 AND coverage >= 0.2 AND n >= 10 GROUP BY 1"""),
+  promoted, [], BASE)
