@@ -1,7 +1,8 @@
 """Toxicity of whole texts: misspelled terms by Levenshtein automata over a lexicon trie, weighed by the words around them.
 
 **Lexicon.** Words and word beginnings that mark toxic rows in one half of the labelled training rows (a likelihood-ratio test, strict enough for the
-number of terms tried). Words stand in a trie; a beginning is a node of the trie at which any further letters are accepted.
+number of terms tried). A beginning is listed in the place of its words where no one word makes up half of it. Words stand in a trie; a
+beginning is a node of the trie at which any further letters are accepted.
 
 **Search.** For a word of a text, the Levenshtein automaton of distance one runs along the trie: only branches on which it is alive are followed. A word is
 looked up once per task and then remembered. Words of fewer than five letters are matched as they are.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barley.llm.shared import stash
 
-MOST_ROWS = 16_000
+MOST_ROWS = 6_000
 MOST_TERMS = 4_000
 BEGINNINGS = (4, 5, 6)
 WINDOW = 6
@@ -48,6 +49,7 @@ class Trie:
 
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
         self.root: dict = {}
+        self.terms = (*words, *beginnings)
         for mark, terms in ((0, words), (1, beginnings)):
             for term, weight in terms.items():
                 node = self.root
@@ -57,6 +59,16 @@ class Trie:
         # with one edit, a term's first two letters or its last three stay as they are
         self.heads = {w[:2] for w in words}
         self.tails = {w[-3:] for w in words}
+        self.seen = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"seen": None}
+
+    def matches(self) -> _Seen:
+        """What words match, shared by the tasks of a Python worker."""
+        if self.seen is None:
+            self.seen = _Seen(self)
+        return self.seen
 
     def exact(self, word: str) -> tuple[float, bool] | None:
         """Weight of the word itself or its longest listed beginning, and whether it is a beginning's."""
@@ -107,17 +119,21 @@ class _Seen(dict):
     def __init__(self, trie: Trie):
         super().__init__()
         self.trie = trie
+        # what is listed or at distance one shares its first two letters or its last three with a term
+        self.starts, self.ends = {t.encode()[:2] for t in trie.terms}, {t.encode()[-3:] for t in trie.terms}
 
     def __missing__(self, word: bytes):
         if len(self) > 500_000:
             self.clear()
-        text = word.decode(errors="replace")
-        exact = self.trie.exact(text)
-        if exact:
-            out = (exact[0], 1 if exact[1] else 0)
-        else:
-            near = self.trie.near(text)
-            out = None if near is None else (near, 2)
+        out = None
+        if word[:2] in self.starts or word[-3:] in self.ends:
+            text = word.decode(errors="replace")
+            exact = self.trie.exact(text)
+            if exact:
+                out = (exact[0], 1 if exact[1] else 0)
+            else:
+                near = self.trie.near(text)
+                out = None if near is None else (near, 2)
         self[word] = out
         return out
 
@@ -174,11 +190,16 @@ def training_rows(df: DataFrame, labels: DataFrame, id_column: str, text_column:
     return rows.join(F.broadcast(own), "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int"))
 
 
+def _begun(n: int):
+    """The first ``n`` letters of each longer word, marked."""
+    return F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def _terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and beginnings that mark label 1, with their log odds."""
     letters = F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+", " ")
     words = F.array_distinct(F.filter(F.split(letters, " "), lambda w: F.length(w) > 2))
-    begun = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]
+    begun = [_begun(n) for n in BEGINNINGS]
     terms = rows.where("half = 0").select("label", words.alias("words")).select("label", F.explode(F.array_distinct(F.concat("words", *begun))).alias("term"))
     totals = {r.label: r["count"] for r in rows.where("half = 0").groupBy("label").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -189,10 +210,20 @@ def _terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     total = F.col("p") + F.col("n")
     ratio = 2 * (F.col("p") * F.log(F.col("p") / (total * base)) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (total * (1 - base)))).otherwise(0.0))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    scored = counts.select("term", ratio.alias("ratio"), odds.alias("odds")).where("odds > 1.5")
+    scored = counts.select("term", "p", ratio.alias("ratio"), odds.alias("odds")).where("odds > 1.5")
     tried = max(2, scored.count())
     best = scored.where(F.col("ratio") > 2 * math.log(2 * tried)).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).collect()
-    return ({r.term: r.odds for r in best if r.term[-1] != "*"}, {r.term[:-1]: r.odds for r in best if r.term[-1] == "*"})
+    words, begun = [r for r in best if r.term[-1] != "*"], sorted((r for r in best if r.term[-1] == "*"), key=lambda r: (len(r.term), r.term))
+    most: dict[str, int] = {}   # rows of the commonest word by its beginning
+    for r in words:
+        for n in BEGINNINGS:
+            most[r.term[:n]] = max(most.get(r.term[:n], 0), r.p)
+    listed: dict[str, float] = {}
+    for r in begun:
+        start = r.term[:-1]
+        if 2 * most.get(start, 0) < r.p and not any(start[:n] in listed for n in BEGINNINGS):
+            listed[start] = r.odds
+    return {r.term: r.odds for r in words if not any(r.term[:n] in listed for n in BEGINNINGS)}, listed
 
 
 def train(rows: DataFrame) -> tuple[Trie, np.ndarray]:
@@ -209,7 +240,7 @@ def train(rows: DataFrame) -> tuple[Trie, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch]:
-    seen = _Seen(spread.value)
+    seen = spread.value.matches()
     for batch in batches:
         x = [features(t, seen) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
@@ -231,7 +262,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
 def _score(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch]:
     trie, weights = spread.value
-    seen = _Seen(trie)
+    seen = trie.matches()
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
