@@ -62,10 +62,10 @@ def attach_all(panel: DataFrame, sides: Iterable[dict]) -> DataFrame:
 
 
 def scheduled(panel: DataFrame, schedule: DataFrame, label: str, default: str = "_default") -> DataFrame:
-    """The schedule entry in force at each bar; ``default`` before the first."""
-    one = panel.withColumn("_all", F.lit(1))
-    known = as_of(one, schedule.withColumn("_all", F.lit(1)), [label], key=["_all"])
-    return known.withColumn(label, F.coalesce(F.col(label), F.lit(default))).drop("_all")
+    """The schedule entry in force at each bar; ``default`` before the first. Only the distinct times are looked up, then joined back."""
+    times = panel.select(TS).distinct().withColumn("_all", F.lit(1))
+    known = as_of(times, schedule.withColumn("_all", F.lit(1)), [label], key=["_all"])
+    return panel.join(known.select(TS, F.coalesce(F.col(label), F.lit(default)).alias(label)), TS)
 
 
 def active_at(times: DataFrame, positions: DataFrame, bucket: float = 7 * 86400) -> DataFrame:

@@ -341,8 +341,9 @@ def common_universe(values: DataFrame, covariance: DataFrame, current: DataFrame
 
 
 def snapshot_at(times: DataFrame, snapshots: DataFrame, fields: list[str]) -> DataFrame:
-    """The newest risk snapshot at or before each time."""
-    return as_of(times.withColumn("_all", F.lit(1)), snapshots.withColumn("_all", F.lit(1)), fields, key=["_all"]).drop("_all")
+    """The newest risk snapshot at or before each time; each time is looked up once."""
+    known = as_of(times.select(TS).distinct().withColumn("_all", F.lit(1)), snapshots.withColumn("_all", F.lit(1)), fields, key=["_all"])
+    return times.join(known.select(TS, *fields), TS)
 
 
 # ---- breakout signal

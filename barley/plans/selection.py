@@ -343,7 +343,9 @@ def regime_composite(wide: DataFrame, schedule: DataFrame, weights: DataFrame, n
 
     A label without weights takes equal ones.
     """
-    labelled = as_of(wide.select(TS, ID, *names).withColumn("_all", F.lit(1)), schedule.withColumn("_all", F.lit(1)), ["label"], key=["_all"])
+    # each time is looked up once and joined back, so that no task sorts all instruments' rows
+    times = as_of(wide.select(TS).distinct().withColumn("_all", F.lit(1)), schedule.withColumn("_all", F.lit(1)), ["label"], key=["_all"])
+    labelled = wide.select(TS, ID, *names).join(times.select(TS, "label"), TS)
     long = labelled.unpivot([TS, ID, "label"], names, "factor", "value").where("value IS NOT NULL AND label IS NOT NULL")
     c = Slice((TS, "factor")).all()
     spread = F.stddev_pop("value").over(c)
