@@ -56,9 +56,9 @@ class Trie:
                 for letter in term:
                     node = node.setdefault(letter, {})
                 node[mark] = weight
-        # with one edit, a term's first two letters or its last three stay as they are
-        self.heads = {w[:2] for w in words}
-        self.tails = {w[-3:] for w in words}
+        # with one edit, a term's first two letters or its last three stay as they are, and its length changes by one at most
+        self.heads = {(w[:2], len(w) + d) for w in words for d in (-1, 0, 1)}
+        self.tails = {(w[-3:], len(w) + d) for w in words for d in (-1, 0, 1)}
         self.seen = None
 
     def __getstate__(self):
@@ -83,9 +83,9 @@ class Trie:
 
     def near(self, word: str) -> float | None:
         """The highest weight of a listed word at distance one."""
-        if len(word) < 5 or not (word[:2] in self.heads or word[-3:] in self.tails):
-            return None
         best, n = None, len(word)
+        if n < 5 or not ((word[:2], n) in self.heads or (word[-3:], n) in self.tails):
+            return None
         # states of the automaton: (place in the word, edits so far) sets, kept as costs by place within reach
         stack = [(self.root, 0, {0: 0, 1: 1})]
         while stack:
