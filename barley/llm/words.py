@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: the bytes 0x20 and 0x09 to 0x0D part the words of most contracts
 SPACE = np.zeros(256, bool)
