@@ -51,10 +51,11 @@ def repeated_spans(df: DataFrame, window: int = 50, id_column: str = "doc_id", t
 
     seeds = stash(rows.mapInArrow(_seeds(window, gram), "id bigint, place int, anchor bigint, reach bigint"), "seeds")
     seeds = seeds.join(copies, "id", "left_anti")
-    shared = seeds.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    shared = stash(seeds.join(shared, "anchor", "left_semi"), "shared")
-    reaches = shared.groupBy("anchor", "reach").agg(F.min("id").alias("first"))
-    several = reaches.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # minima by key are written before they are joined back: beside a plain shuffle Spark may split a large key
+    met = seeds.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    shared = stash(seeds.join(stash(met, "met"), "anchor", "left_semi"), "shared")
+    reaches = stash(shared.groupBy("anchor", "reach").agg(F.min("id").alias("first")), "reaches")
+    several = stash(reaches.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
     met = shared.join(reaches, ["anchor", "reach"])
     covered = met.where("id > first").select("id", "place", F.lit(-1).alias("start"))
     # every first occurrence of a reach, where its anchor has other reaches
@@ -62,7 +63,7 @@ def repeated_spans(df: DataFrame, window: int = 50, id_column: str = "doc_id", t
 
     places = open_.groupBy("id").agg(F.collect_list("place").alias("places"))
     splits = stash(rows.join(places, "id").mapInArrow(_splits(window, gram), "id bigint, start int, anchor bigint, split bigint"), "splits")
-    firsts = splits.groupBy("anchor", "split").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    firsts = stash(splits.groupBy("anchor", "split").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "firsts")
     matched = splits.join(firsts.drop("last"), ["anchor", "split"]).where("id > first").select("id", F.lit(-1).alias("place"), "start")
 
     found = covered.unionByName(matched).groupBy("id").agg(
