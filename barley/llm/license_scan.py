@@ -3,9 +3,9 @@
 **Passages** are the lines of a text, and the whole text where it has several lines. They are put in lower case and all but a-z and 0-9 parts words.
 
 **Pruning.** 2 * common / (a + b) >= t asks that the sizes are within t / (2 - t) of each other, and that of a template's b bigrams at
-least one of any b - m + 1 is found, m being the fewest common bigrams at the smallest size allowed. So a passage goes on only if its
-size fits some template and it holds one of the templates' chosen bigrams (those that the fewest templates share). A template is compared
-only where its own size bound fits.
+least one of any b - m + 1 is found, m being the fewest common bigrams at the smallest size allowed. Those with the longest words are chosen. A
+text in which no chosen bigram's two words stand anywhere is left at once; a passage goes on only if the same holds for it, its size fits
+some template and it holds a chosen bigram. A template is compared only where its own size bound fits.
 
 All is done within the row: nothing is shuffled, and neither repeated texts nor a frequent licence make a large group. The templates
 are part of the plan; their number is checked.
@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,10 +76,10 @@ def scan_licenses(df: DataFrame, templates: dict[str, tuple[str, ...]] | None =
         chosen = sorted(_chosen(forms, least))
         lines = F.split(F.coalesce("text", F.lit("")), "\n")
         whole = F.when(F.size("lines") > 1, F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
-        rows = (rows.withColumn("lines", lines)
-                # a passage with none of the words that begin a chosen bigram is left at once
+        rows = (rows.withColumn("may", _may_hold(F.lower("text"), chosen))
+                .withColumn("lines", F.when(F.col("may"), lines).otherwise(F.array().cast("array<string>")))
                 .withColumn("passages", F.filter(F.transform(F.concat(whole, "lines"), lambda x, i: F.struct(
-                    (i + F.when(F.size("lines") > 1, 0).otherwise(1)).alias("line"), x.alias("text"))), lambda p: _may_hold(p["text"], chosen)))
+                    (i + F.when(F.size("lines") > 1, 0).otherwise(1)).alias("line"), F.lower(x).alias("text"))), lambda p: _may_hold(p["text"], chosen)))
                 .withColumn("passages", F.transform("passages", lambda p: F.struct(p["line"].alias("line"), _words(p["text"]).alias("words"))))
                 .withColumn("passages", F.filter("passages", lambda p: F.size(p["words"]) > lowest))
                 .withColumn("passages", F.transform("passages", lambda p: F.struct(p["line"].alias("line"), _bigrams(p["words"]).alias("grams"))))
@@ -94,15 +95,18 @@ def scan_licenses(df: DataFrame, templates: dict[str, tuple[str, ...]] | None =
 NOTICES = "array<struct<line:int,license:string,dice:double>>"
 
 
+def _long_word(gram: str) -> str:
+    return max(gram.split(), key=len)
+
+
 def _chosen(forms: list[tuple[str, set[str]]], least: float) -> set[str]:
     """Bigrams of which a passage that reaches ``least`` with any template holds one."""
-    shared = Counter(g for _, grams in forms for g in grams)
     out = set()
     for _, grams in forms:
         b = len(grams)
         smallest = math.ceil(b * least / (2 - least) - 1e-9)
         common = math.ceil(least * (smallest + b) / 2 - 1e-9)
-        out |= set(sorted(grams, key=lambda g: (shared[g], g))[:b - common + 1])
+        out |= set(sorted(grams, key=lambda g: (-len(_long_word(g)), -len(g), g))[:b - common + 1])
     return out
 
 
@@ -111,12 +115,19 @@ def _texts(values) -> Column:
 
 
 def _may_hold(text: Column, chosen: list[str]) -> Column:
-    """A cheap test that no passage with a chosen bigram fails: its two words stand there, with other signs between."""
-    return F.rlike(text, F.lit("(?i)(?:" + "|".join(c.replace(" ", "[^a-z0-9]+") for c in chosen) + ")"))
+    """A cheap test that no passage with a chosen bigram fails: both words stand somewhere in it."""
+    beside: dict[str, set[str]] = {}
+    for gram in chosen:
+        a, b = gram.split()
+        long = _long_word(gram)
+        beside.setdefault(long, set()).add(b if long == a else a)
+    tests = [F.contains(text, F.lit(w)) & reduce(or_, (F.contains(text, F.lit(x)) for x in sorted(others, key=lambda x: (len(x), x))))
+             for w, others in sorted(beside.items())]
+    return F.coalesce(reduce(or_, tests), F.lit(False))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _bigrams(words: Column) -> Column:
