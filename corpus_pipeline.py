@@ -17,6 +17,8 @@ from barley.llm.shared import stash
 from barley.llm.toxicity import score_toxicity
 
 KEY = "barley"
+#: near copies of the stage: five-word shingles, similarity 0.8 (op2's contract of four words and 0.85 is that query's alone)
+WORDS, PERCENT = 5, 80
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id."""
-    return _without(docs, similar_components(docs).where("component_id < doc_id").select("doc_id"))
+    return _without(docs, similar_components(docs, WORDS, PERCENT).where("component_id < doc_id").select("doc_id"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
