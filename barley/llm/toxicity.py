@@ -2,10 +2,12 @@
 
 **Lexicon.** Words and word beginnings that mark toxic rows in one half of the labelled training rows (a likelihood-ratio test, strict enough for the
 number of terms tried). A beginning is listed in the place of its words where no one word makes up half of it. Words stand in a trie; a
-beginning is a node of the trie at which any further letters are accepted.
+beginning is a node of the trie at which any further letters are accepted. Its words (those of two label-1 rows and more with high odds) stay in the trie
+as targets of misspellings, which weigh as the beginning does.
 
 **Search.** For a word of a text, the Levenshtein automaton of distance one runs along the trie: only branches on which it is alive are followed. A word is
-looked up once per task and then remembered. Words of fewer than five letters are matched as they are.
+looked up once per task and then remembered. Words of fewer than five letters are matched as they are. A digit or sign between letters, and a digit, @, $ or *
+before or after them, parts words; where no part is a hit, the automaton reads them as one word with that sign (id1ot, st*pid). As it allows one edit, one sign is enough.
 
 **Context.** A hit between quotation marks or near a word that reports speech counts as quotation; one near a second person is directed abuse. Both
 have features of their own, beside the plain hits, so that quoting a term and using it are scored apart.
@@ -17,6 +19,7 @@ At most ``most_rows`` labelled rows (those with the smallest hashes of their ids
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ LEAST_SCORE = 0.3
 
 #: letters (all bytes from 0x80 on count as such) in lower case, the rest parts words
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: letters with one digit or sign that may stand for a letter, in lower case
+MASKED = re.compile(rb"(?<![a-z\x80-\xff])(?:[a-z\x80-\xff]+[!-@\[-`{-~][a-z\x80-\xff]+|[0-9@$*][a-z\x80-\xff]{4,}|[a-z\x80-\xff]{4,}[0-9@$*](?![a-z0-9\x80-\xff]))")
 QUOTES = tuple(q.encode() for q in ('"', "“", "”", "„", "«", "»", "‹", "›"))
 REPORTS = frozenset(w.encode() for w in "said says say wrote writes quote quoted quoting called reported dit écrit appelé sagte schrieb nannte zitat zitiert dijo escribió llamó cita".split())
 SECOND = frozenset(w.encode() for w in "you your yours du dich dir dein ihr euch tu te toi vous votre tú usted ustedes vosotros".split())
@@ -45,20 +50,21 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Trie:
-    """Lexicon terms as nested dictionaries of letters; key 0 holds a word's weight, key 1 a beginning's."""
+    """Lexicon terms as nested dictionaries of letters; key 0 holds a word's weight, key 1 a beginning's, key 2 that of a word below a beginning."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], targets: dict[str, float] | None = None):
         self.root: dict = {}
-        self.terms = (*words, *beginnings)
-        for mark, terms in ((0, words), (1, beginnings)):
+        targets = targets or {}
+        self.terms = (*words, *beginnings, *targets)
+        for mark, terms in ((0, words), (1, beginnings), (2, targets)):
             for term, weight in terms.items():
                 node = self.root
                 for letter in term:
                     node = node.setdefault(letter, {})
                 node[mark] = weight
         # with one edit, a term's first two letters or its last three stay as they are, and its length changes by one at most
-        self.heads = {(w[:2], len(w) + d) for w in words for d in (-1, 0, 1)}
-        self.tails = {(w[-3:], len(w) + d) for w in words for d in (-1, 0, 1)}
+        self.heads = {(w[:2], len(w) + d) for w in (*words, *targets) for d in (-1, 0, 1)}
+        self.tails = {(w[-3:], len(w) + d) for w in (*words, *targets) for d in (-1, 0, 1)}
         self.seen = None
 
     def __getstate__(self):
@@ -82,7 +88,7 @@ class Trie:
         return (node[0], False) if 0 in node else found
 
     def near(self, word: str) -> float | None:
-        """The highest weight of a listed word at distance one."""
+        """The highest weight of a listed word, or of a word below a beginning, at distance one."""
         best, n = None, len(word)
         if n < 5 or not ((word[:2], n) in self.heads or (word[-3:], n) in self.tails):
             return None
@@ -90,12 +96,13 @@ class Trie:
         stack = [(self.root, 0, {0: 0, 1: 1})]
         while stack:
             node, depth, states = stack.pop()
-            if 0 in node and depth >= 5:
+            if (0 in node or 2 in node) and depth >= 5:
                 cost = min((c + n - p for p, c in states.items() if c + n - p <= 1), default=2)
-                if cost == 1 and (best is None or node[0] > best):
-                    best = node[0]
+                weight = node.get(0, node.get(2))
+                if cost == 1 and (best is None or weight > best):
+                    best = weight
             for letter, child in node.items():
-                if letter in (0, 1):
+                if letter in (0, 1, 2):
                     continue
                 after: dict[int, int] = {}
                 for p, c in states.items():
@@ -138,6 +145,11 @@ class _Seen(dict):
         return out
 
 
+def _masked(low: bytes, seen: _Seen) -> list[tuple[float, int]]:
+    """Hits of words with a digit or sign for a letter, where no part of them is a hit."""
+    return [h for m in MASKED.findall(low) if len(m) > 4 and (h := seen[m]) and not any(seen[w] for w in m.translate(TABLE).split())]
+
+
 def _contexts(text: str, seen: _Seen) -> tuple[int, int]:
     """Hits in quotation, and hits near a second person."""
     quoted = directed = 0
@@ -149,7 +161,7 @@ def _contexts(text: str, seen: _Seen) -> tuple[int, int]:
         inside.append(open_ or marks > 0)
         open_ ^= marks % 2 == 1
     for i, own in enumerate(words):
-        if any(seen[w] for w in own):
+        if any(seen[w] for w in own) or _masked(tokens[i], seen):
             near = {w for other in words[max(0, i - WINDOW):i + WINDOW + 1] for w in other}
             quoted += inside[i] or not near.isdisjoint(REPORTS)
             directed += not near.isdisjoint(SECOND)
@@ -159,6 +171,8 @@ def _contexts(text: str, seen: _Seen) -> tuple[int, int]:
 def features(text: str | None, seen: _Seen) -> list[float]:
     words = split_words(text)
     hits = [h for h in map(seen.__getitem__, words) if h]
+    if words:
+        hits += _masked(text.lower().encode(), seen)
     if not hits:
         return [1.0] + [0.0] * (FEATURES - 1)
     kinds = [sum(1 for h in hits if h[1] == k) for k in range(3)]
@@ -195,8 +209,8 @@ def _begun(n: int):
     return F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
 
-def _terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings that mark label 1, with their log odds."""
+def _terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Words and beginnings that mark label 1, with their log odds, and the words below these beginnings with the beginnings' log odds."""
     letters = F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+", " ")
     words = F.array_distinct(F.filter(F.split(letters, " "), lambda w: F.length(w) > 2))
     begun = [_begun(n) for n in BEGINNINGS]
@@ -204,7 +218,7 @@ def _terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     totals = {r.label: r["count"] for r in rows.where("half = 0").groupBy("label").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
-        return {}, {}
+        return {}, {}, {}
     counts = terms.groupBy("term").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).where("p >= 2")
     base = pos / (pos + neg)
     total = F.col("p") + F.col("n")
@@ -223,7 +237,11 @@ def _terms(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         start = r.term[:-1]
         if 2 * most.get(start, 0) < r.p and not any(start[:n] in listed for n in BEGINNINGS):
             listed[start] = r.odds
-    return {r.term: r.odds for r in words if not any(r.term[:n] in listed for n in BEGINNINGS)}, listed
+    below = [F.substring("term", 1, n).isin([b for b in listed if len(b) == n]) for n in BEGINNINGS]
+    # of the training rows' words, thus few
+    family = [r.term for r in scored.where(~F.col("term").endswith("*") & (below[0] | below[1] | below[2])).select("term").collect()] if listed else []
+    targets = {t: max(listed[t[:n]] for n in BEGINNINGS if t[:n] in listed) for t in family}
+    return {r.term: r.odds for r in words if not any(r.term[:n] in listed for n in BEGINNINGS)}, listed, targets
 
 
 def train(rows: DataFrame) -> tuple[Trie, np.ndarray]:

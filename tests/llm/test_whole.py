@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as P
+from barley.llm import toxicity
 from tests.llm import fixtures as X
 from tests.llm.test_texts import SCHEMA
 
@@ -31,3 +32,26 @@ def test_pipeline_near_copies(spark):
     want = {i for i, c in components(rows, 5, 80).items() if c == i}
     assert want != {i for i, c in components(rows, 4, 85).items() if c == i}
     assert {r.doc_id for r in P.keep_one_of_similar(spark, spark.createDataFrame(rows, SCHEMA), "").collect()} == want
+
+
+def test_toxicity_misspelled_family_and_signs(spark):
+    """A misspelling in the first letters of an inflected family, and a digit or sign in the place of a letter, are hits."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(1200):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+        if i % 5 == 0:
+            words[rng.randrange(20)] = rng.choice(["loremish", "loremade", "loremton"])
+            words[20 + rng.randrange(20)] = rng.choice(["scoundrel", "villain"])
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1000)], "doc_id bigint, toxic int")
+    trie, _ = toxicity.train(toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 6000))
+    seen = trie.matches()
+    assert seen[b"loremish"][1] == 1 and seen[b"lxremish"][1] == 2 and seen[b"lxremish"][0] == seen[b"loremish"][0]
+    plain = toxicity.features("a b c", seen)
+    for text in ("lxremade b c", "the sc0undrel.", 'a "vill*in," b', "$coundrel", "villai7", "(lore&ish)"):
+        assert toxicity.features(text, seen) != plain, text
+    assert toxicity.features('a "vill*in," b', seen)[7] > 0   # in quotation
+    for text in ("well-known don't e.g. page1 *a*", "vi*l*in"):
+        assert toxicity.features(text, seen) == plain, text
