@@ -10,7 +10,8 @@ the format of each mention: separators, letter case, digits for digits, the scri
 **Distinctness.** The distinct referents are a table. A surrogate that two referents of a type would share, or that is itself a referent found in the
 texts, is drawn again with the next attempt for all but the first referent, until none is left. The table is joined back by (type, referent).
 
-Texts without a digit, an @ or a title are passed through. The others move once, to meet the surrogates of their own entities. A referent that a third of all
+Passwords stand after a word such as password or secret and = or :, with or without quotes and up to eight blanks around the sign; a value of mask signs
+alone (********) is none. Texts without a digit, an @, a title, such a word and sign or the start of a key are passed through. The others move once, to meet the surrogates of their own entities. A referent that a third of all
 texts holds is one row of the table, and its mentions are a join that Spark may split.
 """
 
@@ -28,10 +29,14 @@ MALE = r"Mr|Herrn?|Monsieur|Señor|Don|Г-н"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Doña|Г-жа"
 TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? "
 
+#: a look-behind has a greatest length: up to eight blanks on either side of the sign
+SECRET = r"(?i:password|passwd|pwd|secret)[\"']?\s{0,8}[=:]"
+MASK = r"[*•.…_=-]+(?![^\s\"'])"
+
 #: type -> pattern, tried in this order
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+",
-    "password": r"(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"']{6,}",
+    "password": rf"(?<=[=:\s\"'])(?<={SECRET}\s{{0,8}}[\"']?)(?!{MASK})[^\s\"']{{6,}}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
@@ -41,7 +46,7 @@ PATTERNS = {
     "name": TITLE + r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAY_HOLD = rf"[0-9@]|(?i:password|passwd|pwd|secret)[=:]|{TITLE}"
+MAY_HOLD = rf"[0-9@]|{SECRET}|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|{TITLE}"
 
 LATIN = "ba be bo da de di fa fe ga ka ke la le li lo ma me mi na ne no pa ra re ri ro sa se ta te ti va".split()
 CYRILLIC = "ба бе бо да де ди га ка ке ла ле ли ло ма ме ми на не но па ра ре ри ро са се та те ти ва ви".split()
@@ -160,12 +165,15 @@ def _draw(kind: Column, referent: Column, key: str, attempt: int) -> Column:
 
     def like(text: Column, kept: Column | int = 0) -> Column:
         """Letter for letter and digit for digit; the first ``kept`` signs stay."""
+        # of other letters and signs alone, a password would be its own surrogate in every draw
+        foreign = (kind == "password") & (F.length(F.regexp_replace(text, "[^0-9A-Za-z]", "")) < 6)
         hexadecimal = F.rlike(text, F.lit("^(?=.*[a-f])[0-9a-f]+$"))
 
         def one(i: Column) -> Column:
             c = F.substring(text, i, F.lit(1))
             return (F.when(i <= kept, c).when(hexadecimal, pick(HEX, i)).when(F.rlike(c, F.lit("[0-9]")), pick(DIGITS, i))
-                    .when(F.rlike(c, F.lit("[a-z]")), pick(LOWER, i)).when(F.rlike(c, F.lit("[A-Z]")), pick(UPPER, i)).otherwise(c))
+                    .when(F.rlike(c, F.lit("[a-z]")), pick(LOWER, i)).when(F.rlike(c, F.lit("[A-Z]")), pick(UPPER, i))
+                    .when(foreign, pick(LOWER, i)).otherwise(c))
         return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
 
     top = F.regexp_extract(referent, r"(\.[^.]*)$", 1)   # the last label of a mail address stays

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from barley.llm import toxicity
+from barley.llm import pii, toxicity
 from tests.llm import fixtures as X
 from tests.llm.test_texts import SCHEMA
 
@@ -55,3 +55,18 @@ def test_toxicity_misspelled_family_and_signs(spark):
     assert toxicity.features('a "vill*in," b', seen)[7] > 0   # in quotation
     for text in ("well-known don't e.g. page1 *a*", "vi*l*in"):
         assert toxicity.features(text, seen) == plain, text
+
+
+def test_pii_keys_without_digits_and_spaced_passwords(spark):
+    secrets = ["sk-" + "abcdefghijklmnopqrst", "ghp_" + "AbCdEfGhIjKlMnOpQrStUvWxYzAbCd", "AKIA" + "ABCDEFGHIJKLMNOP", "abcdefabcdefabcdefabcdefabcdefab"]
+    texts = [f"the key {s} is here" for s in secrets]
+    values = ["hunter22x", "huntertwo", "correcthorse", "пароль-мой"]
+    texts += [f.format(v) for v in values for f in ("password: {}", 'password="{}"', "pwd = '{}'", '{{"secret": "{}"}}', "Password:{} ", "passwd=\t{}")]
+    kept = ["password: ********", "the password, however", "secret: ok", "password =", "a risk-free task"]
+    frame = spark.createDataFrame(list(enumerate(texts + kept)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.replace_pii(frame, "k").collect()}
+    for i, text in enumerate(texts):
+        old = next(s for s in secrets + values if s in text)
+        assert old not in got[i].text and len(got[i].text) == len(text) and [p.type for p in got[i].pii] == ["key" if old in secrets else "password"], text
+        assert got[i].text.replace(got[i].pii[0].surrogate, old) == text
+    assert [got[len(texts) + i].text for i in range(len(kept))] == kept
