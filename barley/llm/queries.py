@@ -1,6 +1,7 @@
 """The registered queries on texts and their DuckDB SQL."""
 
 from barley.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
+from barley.llm.exact_dedup import OP13_SQL, op13_exact_dedup
 from barley.llm.license_scan import OP10_SQL, op10_license_scans
 from barley.llm.ngram_join import OP2_SQL, op2_ngram_jaccard_join
 from barley.llm.packing import op6_best_fit_packing
@@ -13,7 +14,7 @@ from barley.llm.url_rules import OP4_SQL, op4_url_filters
 
 QUERIES = {q.__name__: q for q in (
     op1_substring_dedup, op2_ngram_jaccard_join, op3_pii, op4_url_filters, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination,
-    op8_toxicity, op9_token_counts, op10_license_scans)}
+    op8_toxicity, op9_token_counts, op10_license_scans, op13_exact_dedup)}
 
 SQL = {"op1_substring_dedup": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_quality_rules": OP5_SQL,
-       "op7_benchmark_decontamination": OP7_SQL, "op10_license_scans": OP10_SQL}
+       "op7_benchmark_decontamination": OP7_SQL, "op10_license_scans": OP10_SQL, "op13_exact_dedup": OP13_SQL}
