@@ -87,17 +87,19 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     hashes = table.select("run", "place", "hash")
     messages = hashes.groupBy("run").applyInArrow(_send(ranges), "run bigint, owner int, n int, shift int, unary binary, rest binary")
     replies = messages.groupBy("owner").applyInArrow(_answer(ranges), "run bigint, owner int, marks binary")
-    suspects = stash(hashes.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(_suspects(ranges), "run bigint, place bigint"), "suspects")
-
-    own = suspects.hint("shuffle_hash")   # a bucket's suspects are at most its rows
-    light = table.drop("text")
-    single = light.join(own, ["run", "place"], "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
-                                                                   F.lit(True).alias("kept"), "text_sha256")
-    moved = table.select("run", "place", "id", "text", "hash").join(own, ["run", "place"], "left_semi")
+    marks = stash(hashes.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(_marks(ranges), "run bigint, marks array<bigint>"), "marks")
+
+    # joined by the buckets' key alone, so that the table stays where it is; a hash table of marks holds 8 KB a run
+    at = F.col("place").bitwiseAND(F.lit((1 << RUN_BITS) - 1))
+    word = F.coalesce(F.get("marks", (at / 64).cast("int")), F.lit(0).cast("bigint"))
+    marked = table.join(marks.hint("shuffle_hash"), "run", "left").withColumn("suspect", F.call_function("getbit", word, (at % 64).cast("int")) == 1).drop("marks")
+    light = marked.drop("text")
+    single = light.where("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    moved = marked.where("suspect").select("place", "id", "text", "hash")
     groups = stash(moved.groupBy("hash", "text").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"), F.max("place").alias("last")), "groups")
     per_hash = groups.groupBy("hash").agg(F.count("*").alias("texts"), F.max("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"), F.max("last").alias("last"))
     per_hash = stash(per_hash, "hashes")
-    met = light.join(own, ["run", "place"], "left_semi").join(per_hash.where("texts = 1").drop("texts"), "hash")
+    met = light.where("suspect").join(per_hash.where("texts = 1").drop("texts"), "hash")
     met = met.select("place", "id", "text_sha256", "group_size", "keep_id", "last")
     clashes = per_hash.where("texts > 1").select("hash")
     if not clashes.isEmpty():
@@ -139,14 +141,19 @@ def _answer(ranges: Ranges):
     return run
 
 
-def _suspects(ranges: Ranges):
+def _marks(ranges: Ranges):
+    """One bit for each row of a run, in words of 64: its hash is marked by an owner or comes twice in the run."""
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         values, at, counts = np.unique(ranges.cut(table.column("hash").to_numpy()), return_inverse=True, return_counts=True)
         marked, edges = counts > 1, ranges.edges(values)
         for owner, marks in zip(replies.column("owner").to_pylist(), replies.column("marks").to_pylist()):
             a, b = edges[owner], edges[owner + 1]
             marked[a:b] |= np.unpackbits(np.frombuffer(marks, np.uint8))[:b - a].astype(bool)
-        return table.select(["run", "place"]).filter(pa.array(marked[at]))
+        bits = np.zeros(1 << RUN_BITS, np.uint8)
+        bits[(table.column("place").to_numpy() & ((1 << RUN_BITS) - 1))[marked[at]]] = 1
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        last = int(np.flatnonzero(words).max(initial=-1)) + 1
+        return pa.table({"run": table.column("run").slice(0, 1), "marks": pa.array([words[:last]], pa.list_(pa.int64()))})
     return run
 
 
