@@ -6,21 +6,25 @@ nearer to its end. A block that ends some window has shift 0 and names a bucket
 is compared word by word.
 
 **Blocks of items.** The tables are sent to the tasks, so their size is checked: items are dealt to as many blocks as keep each
-below ``block_words`` words, and the documents are searched once per block. The blocks' spans are then put together per document.
+below ``block_words`` words, and the documents are searched once per block. Rows are then written with a place of their own, and the
+blocks' spans are put together by it.
 
 Null texts have no words. An item without id or without words is no item; an item id that comes twice is one item with the windows of
-both rows. Document ids may repeat where one block suffices; each row is then judged by itself.
+both rows. Document ids may be null or repeat; each row is judged by itself.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barley.llm.shared import Carried, stash
+
 WINDOW = 10
 
 #: A to Z to lower case; all ASCII but letters and digits parts words
@@ -101,32 +105,46 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
-               item_text_column: str = "text", block_words: int = 4_000_000) -> DataFrame:
-    """(id, n_words, spans, items) per row of ``df``: joined word spans that benchmark windows cover, and the sorted ids of their items."""
+               item_text_column: str = "text", block_words: int = 4_000_000, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, spans, items) per row of ``df``: joined word spans that benchmark windows cover, and the sorted ids of their items.
+
+    ``carry`` names columns of ``df`` that come through instead of the id, so that a verdict stays on its row.
+    """
     spark = df.sparkSession
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text")).dropna()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // (2 * block_words)))   # a word and its gap are two bytes at least
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, spans {SPANS}, items array<string>"
+    carried = Carried(df, id_column, text_column, carry)
+    with_text = carried.with_text
+    rows = carried.rows
+    if blocks > 1:
+        rows = stash(rows.withColumn("place", F.monotonically_increasing_id()), "rows")
+    schema = carried.schema(rows, f"n_words bigint, spans {SPANS}, items array<string>")
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         tables = spark.sparkContext.broadcast(Tables([(r.item, r.text) for r in own.collect()]))
-        parts.append(rows.mapInArrow(lambda batches, tables=tables: _search(batches, tables), schema))
-    if blocks == 1:
-        found = parts[0]
-    else:
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
-        join = F.udf(lambda x: join_spans([(s.start, s.end) for s in x]), SPANS)
-        found = union.groupBy("id").agg(F.max("n_words").alias("n_words"), join(F.flatten(F.collect_list("spans"))).alias("spans"),
-                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.withColumnRenamed("id", id_column)
-
-
-def _search(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
+        parts.append(rows.mapInArrow(lambda batches, tables=tables: _search(batches, tables, with_text), schema))
+    found = parts[0]
+    if blocks > 1:
+        hits = reduce(DataFrame.unionByName, [part.where(F.size("spans") > 0).select("place", "spans", "items") for part in parts])
+        hits = hits.groupBy("place").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.drop("spans", "items").join(hits, "place", "left").drop("place")
+        found = found.withColumn("spans", _joined(F.coalesce("all", F.array().cast(SPANS)))).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("all")
+    return found.select(*carried.columns(), "n_words", "spans", "items")
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans with those that touch put together."""
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        meets = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["start"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+    return F.aggregate(spans, F.array().cast(SPANS), add)
+
+
+def _search(batches: Iterator[pa.RecordBatch], tables, with_text: bool) -> Iterator[pa.RecordBatch]:
     search = tables.value.search
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -138,8 +156,9 @@ def _search(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatc
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in join_spans(hits)])
                 items.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS),
-                                              pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+            own = [c for c in part.schema.names if c != "text" or with_text]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(spans, _SPANS),
+                                              pa.array(items, pa.list_(pa.string()))], [*own, "n_words", "spans", "items"])
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:

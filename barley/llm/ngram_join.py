@@ -7,10 +7,12 @@ size c(a, b) that a partner could ask for; sets in one list share that subset, s
 it could link. A list gives one link per member, not one per pair.
 
 **Heavy sets** (more than x). An order of all shingles puts those first that few documents hold. A set that links with another shares one of its
-first shingles, so only these are put into inverted lists. The lists of heavy sets are scanned in two rounds. First each member
-meets three members of about its size, the same for all of its list. Components of what links are formed. Then members of different components meet, if
-a bound from 128 counts of each set allows the overlap; the sets are compared whole at the end. Members of one component need no
-further link, so a group of copies costs its members, not its pairs.
+first shingles, so only these are put into inverted lists. The lists of heavy sets are scanned in rounds. In the first each member meets four
+members of about its size, the same for all of its list; one of them is the set that holds the list's shingle earliest in the order, thus has the fewest
+shingles of its own: a group of near copies meets there. Components of what links are formed. In further rounds the members of a list meet such middle sets of its
+first and its last component, as long as that adds links. Then members of components that are still different meet, if place, size and a bound from 128
+counts of each set allow the overlap; the sets are compared whole at the end. Members of one component need no further link, so a group
+of copies costs its members, not its pairs.
 
 **Boundary.** x is where the cost of listing subsets passes that of scanning, from the counts of sets by size and the measured length of lists.
 
@@ -29,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ SAMPLE = 16
 #: bits of the filter that keeps sets which no pair asks for from being moved
 FILTER_BITS = 1 << 27
 COUNTS = 128
+#: bytes of text that a task looks at together
+CHUNK = 1 << 19
 LARGEST_LIGHT = 24
 #: a turn of the order of hashes
 TURN = 0x2545F4914F6CDD1D
@@ -80,8 +84,8 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
     """(id, n_shingles, component_id), one row per row of ``df``.
 
     Words are lower-cased (A to Z) and parted by white space. A text with fewer than ``words`` words, but not none, is one shingle; one without
-    words (or null) is an empty set and its own component. Rows with a null id get their count and a null component. An id names
-    one document; rows that share an id fall in one component.
+    words (or null) is an empty set and its own component. Rows with a null id get their count and a null component. Rows that share an id have
+    their own counts and fall in one component, with all that any of them links to; those among them without words stand alone.
     """
     rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     seen = stash(rows.mapInArrow(_sets(words), "id bigint, n int, whole bigint, counts binary, item bigint, held bigint, different bigint"), "sets")
@@ -105,26 +109,41 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
     several = stash(heavy.groupBy("key").agg(F.min("whole").alias("l"), F.max("whole").alias("h")).where("l < h").select("key"), "several")
     lists = stash(heavy.join(several, "key", "left_semi").distinct(), "lists")
 
-    band = F.floor(F.log("n") / float(np.log(100 / percent)))
-    # three members that all others of a list meet: a group whose sets just reach the similarity is then seldom left in many parts
+    # rows of one id hang together, whatever they hold
+    same = full.groupBy("id").agg(F.min("whole").alias("a"), F.max("whole").alias("h")).where("a < h").select("id", "a")
+    near = near.unionByName(full.join(same, "id").where("whole <> a").select("a", F.col("whole").alias("b")))
+
+    lists = stash(lists.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)))), "banded")
+    # members that all others of a list meet: a group whose sets just reach the similarity is then seldom left in many parts
     turned = F.col("whole").bitwiseXOR(F.lit(TURN))
-    met = F.array(F.min("whole"), F.max("whole"), F.min(turned).bitwiseXOR(F.lit(TURN)))
-    firsts = stash(lists.groupBy("key", band.alias("band")).agg(met.alias("met")), "firsts")
-    rays = lists.withColumn("band", band).join(firsts, ["key", "band"]).select("whole", F.explode("met").alias("other")).where("whole <> other")
-    stars = stash(rays.select(F.least("whole", "other").alias("a"), F.greatest("whole", "other").alias("b")).distinct(), "stars")
-    near = stash(near.unionByName(_verified(stars, classes, rows, words, percent)), "near")
-    groups = components(near).withColumnRenamed("id", "whole")
-
-    grouped = stash(lists.join(groups, "whole", "left").withColumn("component", F.coalesce("component", "whole")), "grouped")
-    mixed = stash(grouped.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "mixed")
-    open_ = grouped.join(mixed, "key", "left_semi")
+    met = F.array(F.min_by("whole", "place"), F.min("whole"), F.max("whole"), F.min(turned).bitwiseXOR(F.lit(TURN)))
+    rays = lists.join(stash(lists.groupBy("key", "band").agg(met.alias("met")), "firsts"), ["key", "band"]).select("whole", F.explode("met").alias("other"))
+    done = stash(_pairs(rays), "stars")
+    near = stash(near.unionByName(_verified(done, classes, rows, words, percent)), "near")
+    while True:
+        groups = components(near).withColumnRenamed("id", "whole")
+        grouped = stash(lists.join(groups, "whole", "left").withColumn("component", F.coalesce("component", "whole")), "grouped")
+        mixed = stash(grouped.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "mixed")
+        open_ = stash(grouped.join(mixed, "key", "left_semi"), "open")
+        middle = open_.groupBy("key", "band", "component").agg(F.min_by("whole", "place").alias("middle"))
+        ends = middle.groupBy("key", "band").agg(F.min_by("middle", "component").alias("x"), F.max_by("middle", "component").alias("y")).where("x <> y")
+        # a middle set may lie in the next band of sizes
+        ends = ends.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "x", "y")
+        rays = open_.join(stash(ends, "ends"), ["key", "band"]).select("whole", F.explode(F.array("x", "y")).alias("other"))
+        fresh = stash(_pairs(rays).join(done, ["a", "b"], "left_anti"), "fresh")
+        links = stash(_verified(fresh, classes, rows, words, percent), "links") if not fresh.isEmpty() else fresh.limit(0)
+        done = done.unionByName(fresh)
+        if links.isEmpty():
+            break
+        near = stash(near.unionByName(links), "near")
+
     other = open_.select("key", *[F.col(c).alias(f"{c}2") for c in ("whole", "n", "place", "component")])
     # different components, sizes that can link, and enough shingles left from here on, were this the first that both hold
     left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     fits = ((F.col("component") < F.col("component2")) & (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))
             & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2"))))
-    pairs = open_.join(other, (open_.key == other.key) & fits).select(F.least("whole", "whole2").alias("a"), F.greatest("whole", "whole2").alias("b")).distinct()
-    rest = stash(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = _pairs(open_.join(other, (open_.key == other.key) & fits).select("whole", F.col("whole2").alias("other")))
+    rest = stash(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     groups = components(near.unionByName(_verified(rest, classes, rows, words, percent)))
 
     # the smallest document of each component, then of each class
@@ -132,9 +151,14 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
     least = stash(linked.groupBy("component").agg(F.min("first").alias("least")), "least")
     label = stash(classes.select("whole", "first").join(linked.join(least, "component").select(F.col("id").alias("whole"), "least"), "whole", "left")
                   .select("whole", F.coalesce("least", "first").alias("c")), "label")
+    # an empty set is its own component
     return docs.join(label, "whole", "left").select(
         F.col("id").cast(df.schema[id_column].dataType).alias(id_column), F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id")).alias("component_id"))
+        F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id"))).alias("component_id"))
+
+
+def _pairs(rays: DataFrame) -> DataFrame:
+    return rays.where("whole <> other").select(F.least("whole", "other").alias("a"), F.greatest("whole", "other").alias("b")).distinct()
 
 
 def _light(keys: DataFrame, percent: int) -> DataFrame:
@@ -157,9 +181,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
     filter_[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
     asked = rows.sparkSession.sparkContext.broadcast(filter_)
     hashed = rows.where("id is not null").select("id", "text", bit.alias("bit"))
-    sets = stash(hashed.mapInArrow(_whole_sets(words, asked), "id bigint, items binary").dropDuplicates(["id"]), "whole")
-    a, b = (sets.select(F.col("id").alias(f"first_{c}"), F.col("items").alias(f"items_{c}")) for c in "ab")
-    return possible.join(a, "first_a").join(b, "first_b").mapInArrow(_compare(percent), "a bigint, b bigint")
+    made = stash(hashed.mapInArrow(_whole_sets(words, asked), "whole bigint, part int, items binary"), "made")
+    # one row of each class: a task gives a class once, and of the tasks the first counts
+    sets = made.join(made.groupBy("whole").agg(F.min("part").alias("part")), ["whole", "part"]).drop("part")
+    a, b = (sets.select(F.col("whole").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
+    return possible.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compare(percent), "a bigint, b bigint")
 
 
 def _shingles(c, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +222,7 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = different = 0
-        for c in chunks(batches, fold=lower_ascii()):
+        for c in chunks(batches, fold=lower_ascii(), limit=CHUNK):
             items, doc = _shingles(c, words)
             edges = np.searchsorted(doc, np.arange(len(c) + 1))
             held, different = held + len(items), different + len(np.unique(items))
@@ -225,7 +251,7 @@ def _keys(words: int, percent: int, x: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = order.value
         names = ["whole", "n", "key", "place", "subset"]
-        for c in chunks(batches, fold=lower_ascii()):
+        for c in chunks(batches, fold=lower_ascii(), limit=CHUNK):
             items, doc = _shingles(c, words)
             edges = np.searchsorted(doc, np.arange(len(c) + 1))
             size, whole = np.diff(edges).astype(np.int32), _whole(items, edges)
@@ -268,12 +294,17 @@ def _bound(percent: int):
 
 def _whole_sets(words: int, asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = asked.value
-        for c in chunks(_asked(batches, filter_), fold=lower_ascii()):
+        filter_, part, seen = asked.value, TaskContext.get().partitionId(), set()
+        for c in chunks(_asked(batches, filter_), fold=lower_ascii(), limit=CHUNK):
             items, doc = _shingles(c, words)
-            edges = (8 * np.searchsorted(doc, np.arange(len(c) + 1))).tolist()
-            data = items.tobytes()
-            yield pa.RecordBatch.from_arrays([c.rows.column("id"), pa.array([data[i:j] for i, j in zip(edges, edges[1:])], pa.binary())], ["id", "items"])
+            edges = np.searchsorted(doc, np.arange(len(c) + 1))
+            found, data = [], items.tobytes()
+            for whole, i, j in zip(_whole(items, edges).tolist(), (8 * edges[:-1]).tolist(), (8 * edges[1:]).tolist()):
+                if i < j and whole not in seen:
+                    seen.add(whole)
+                    found.append((whole, data[i:j]))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([part] * len(found), pa.int32()),
+                                              pa.array([x for _, x in found], pa.binary())], ["whole", "part", "items"])
     return run
 
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barley.llm.shared import stash
+
 LENGTHS = (512, 1024, 2048, 4096)
 SHARD_PIECES = 8192
 
@@ -43,9 +45,8 @@ def pack(df: DataFrame, length: Column, id_column: str = "doc_id", lengths: tupl
     when they agree in id, number and length.
     """
     lengths = tuple(sorted(set(lengths)))
-    pieces = cut_pieces(df, length, id_column, lengths[-1])
-    # at least as many pieces as rows are expected; the count of rows fixes the number of shards
-    shards = max(1, -(-df.count() // shard_pieces))
+    pieces = stash(cut_pieces(df, length, id_column, lengths[-1]), "pieces")
+    shards = max(1, -(-pieces.count() // shard_pieces))   # long texts make many pieces, so these are counted, not rows
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
     schema = "id bigint, piece bigint, start bigint, length bigint, bin bigint, capacity bigint, offset bigint"
     packed = dealt.groupBy("shard").applyInPandas(lambda own: _pack_shard(own, lengths, overhead), schema)

@@ -35,7 +35,7 @@ MASK = r"[*•.…_=-]+(?![^\s\"'])"
 
 #: type -> pattern, tried in this order
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "password": rf"(?<=[=:\s\"'])(?<={SECRET}\s{{0,8}}[\"']?)(?!{MASK})[^\s\"']{{6,}}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
@@ -83,7 +83,7 @@ def _type_of(e: Column) -> Column:
     """The type of an entity, by its own form; the order is that of the patterns."""
     digits = F.regexp_replace(e, r"[^0-9]", "")
     return (F.when(F.rlike(e, F.lit(f"^(?:{PATTERNS['name']})$")), F.lit("name"))
-            .when(F.rlike(e, F.lit(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")), F.lit("email"))
+            .when(F.rlike(e, F.lit(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")), F.lit("email"))
             .when(F.rlike(e, F.lit(f"^{PATTERNS['key']}$")) & F.rlike(e, F.lit("[A-Za-z]")), F.lit("key"))
             .when(F.rlike(e, F.lit(f"^{PATTERNS['iban']}$")), F.lit("iban"))
             .when(F.rlike(e, F.lit(f"^{PATTERNS['ip']}$")), F.lit("ip"))

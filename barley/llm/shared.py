@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Carried:
+    """Columns that come through an operator beside a text, so that its verdict stays on the row. Without any, the id alone does."""
+
+    def __init__(self, df: DataFrame, id_column: str, text_column: str, carry: list[str] | tuple[str, ...]):
+        self.id_column, self.text_column, self.names = id_column, text_column, [c for c in df.columns if c in set(carry)]
+        beside = [c for c in self.names if c != text_column]
+        row = [F.struct(*[F.col(f"`{c}`") for c in beside]).alias("row")] if beside else []
+        self.rows = df.select(F.col(f"`{id_column}`").alias("id"), *row, F.col(f"`{text_column}`").cast("string").alias("text"))
+        self.with_text = text_column in self.names
+
+    def schema(self, rows: DataFrame, more: str) -> str:
+        """Of what a pass over ``rows`` gives: all of them but the text, unless that is carried."""
+        own = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or self.with_text]
+        return ", ".join([*own, more])
+
+    def columns(self) -> list:
+        if not self.names:
+            return [F.col("id").alias(self.id_column)]
+        return [F.col("text").alias(c) if c == self.text_column else F.col(f"row.`{c}`") for c in self.names]

@@ -37,40 +37,41 @@ SPANS = "array<struct<start:int,end:int>>"
 
 
 def repeated_spans(df: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text", gram: int = GRAM) -> DataFrame:
-    """(id, whole, spans): documents with words in a window that starts in a document of a smaller id.
+    """(id, row, whole, places, starts): documents with words in a window that starts in a document of a smaller id.
 
-    ``whole`` marks documents that repeat an earlier one word by word; their spans are null. ``spans`` are half-open word ranges, sorted,
-    apart from each other, each at least ``window`` long. Null texts have no words, documents below ``window`` words no windows. Null ids are left
-    out: they stand in no order. Rows that share an id are judged together as if each row were a document of that id.
+    ``whole`` marks documents that repeat an earlier one word by word; their places and starts are null. Else all windows
+    of the anchors at ``places`` and those at ``starts`` are repeats. Null texts have no words, documents below ``window`` words no windows. Null ids are left
+    out: they stand in no order. Rows that share an id do not cover each other, and each is judged by its own text: ``row``, the hash of id and text, tells them
+    apart (rows that agree in both have the same result).
     """
     gram = min(gram, window)
-    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).dropna()
-    whole = stash(rows.mapInArrow(_whole_texts(window), "id bigint, whole_hash bigint, n_words bigint"), "texts")
+    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).dropna().withColumn("row", F.xxhash64("id", "text"))
+    whole = stash(rows.mapInArrow(_whole_texts(window), "id bigint, row bigint, whole_hash bigint, n_words bigint"), "texts")
     classes = whole.groupBy("whole_hash", "n_words").agg(F.min("id").alias("first"))
-    copies = whole.join(classes, ["whole_hash", "n_words"]).where("id > first").select("id").distinct()
+    copies = whole.join(classes, ["whole_hash", "n_words"]).where("id > first").select("id", "row").distinct()
 
-    seeds = stash(rows.mapInArrow(_seeds(window, gram), "id bigint, place int, anchor bigint, reach bigint"), "seeds")
-    seeds = seeds.join(copies, "id", "left_anti")
+    seeds = stash(rows.mapInArrow(_seeds(window, gram), "id bigint, row bigint, place int, anchor bigint, reach bigint"), "seeds")
+    seeds = seeds.join(copies, ["id", "row"], "left_anti")
     # minima by key are written before they are joined back: beside a plain shuffle Spark may split a large key
     met = seeds.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
     shared = stash(seeds.join(stash(met, "met"), "anchor", "left_semi"), "shared")
     reaches = stash(shared.groupBy("anchor", "reach").agg(F.min("id").alias("first")), "reaches")
     several = stash(reaches.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
     met = shared.join(reaches, ["anchor", "reach"])
-    covered = met.where("id > first").select("id", "place", F.lit(-1).alias("start"))
+    covered = met.where("id > first").select("id", "row", "place", F.lit(-1).alias("start"))
     # every first occurrence of a reach, where its anchor has other reaches
     open_ = met.where("id = first").join(several, "anchor", "left_semi")
 
-    places = open_.groupBy("id").agg(F.collect_list("place").alias("places"))
-    splits = stash(rows.join(places, "id").mapInArrow(_splits(window, gram), "id bigint, start int, anchor bigint, split bigint"), "splits")
+    places = open_.groupBy("id", "row").agg(F.collect_list("place").alias("places"))
+    splits = stash(rows.join(places, ["id", "row"]).mapInArrow(_splits(window, gram), "id bigint, row bigint, start int, anchor bigint, split bigint"), "splits")
     firsts = stash(splits.groupBy("anchor", "split").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "firsts")
-    matched = splits.join(firsts.drop("last"), ["anchor", "split"]).where("id > first").select("id", F.lit(-1).alias("place"), "start")
+    matched = splits.join(firsts.drop("last"), ["anchor", "split"]).where("id > first").select("id", "row", F.lit(-1).alias("place"), "start")
 
-    found = covered.unionByName(matched).groupBy("id").agg(
+    found = covered.unionByName(matched).groupBy("id", "row").agg(
         F.collect_list(F.when(F.col("place") >= 0, F.col("place"))).alias("places"),
         F.collect_list(F.when(F.col("start") >= 0, F.col("start"))).alias("starts"))
-    return found.select("id", F.lit(False).alias("whole"), "places", "starts").unionByName(
-        copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<int>").alias("starts")))
+    return found.select("id", "row", F.lit(False).alias("whole"), "places", "starts").unionByName(
+        copies.select("id", "row", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<int>").alias("starts")))
 
 
 def remove_repeats(df: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text", gram: int = GRAM) -> DataFrame:
@@ -80,19 +81,24 @@ def remove_repeats(df: DataFrame, window: int = 50, id_column: str = "doc_id", t
     """
     found = repeated_spans(df, window, id_column, text_column, gram)
     ids = df.schema[id_column].dataType.simpleString()
-    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(id_column).alias("own_id"), F.col(text_column).cast("string").alias("text"))
-    out = rows.join(found, "id", "left").mapInArrow(
+    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(id_column).alias("own_id"), F.col(text_column).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    out = rows.join(found, ["id", "row"], "left").mapInArrow(
         _remove(window, min(gram, window)), f"own_id {ids}, n_words bigint, n_removed bigint, spans {SPANS}, kept string")
     return out.withColumnRenamed("own_id", id_column)
 
 
+def _names(c, doc: np.ndarray) -> list[pa.Array]:
+    """Id and row of texts of a chunk."""
+    return [c.rows.column(name).take(pa.array(doc)) for name in ("id", "row")]
+
+
 def _whole_texts(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             whole = run_hash(prefix_sums(c.words_hash()), c.first[:-1], c.first[1:])
             long = np.flatnonzero(c.n_words >= window)
             yield pa.RecordBatch.from_arrays(
-                [c.rows.column("id").take(pa.array(long)), pa.array(signed(whole[long])), pa.array(c.n_words[long])], ["id", "whole_hash", "n_words"])
+                [*_names(c, long), pa.array(signed(whole[long])), pa.array(c.n_words[long])], ["id", "row", "whole_hash", "n_words"])
     return run
 
 
@@ -141,8 +147,8 @@ def _seeds(window: int, gram: int):
             place, low, high, _, _, grams, sums = _occurrences(c, window, gram)
             doc = c.doc[place]
             yield pa.RecordBatch.from_arrays(
-                [c.rows.column("id").take(pa.array(doc)), pa.array((place - c.first[doc]).astype(np.int32)),
-                 pa.array(signed(grams[place])), pa.array(signed(run_hash(sums, low, high + window)))], ["id", "place", "anchor", "reach"])
+                [*_names(c, doc), pa.array((place - c.first[doc]).astype(np.int32)),
+                 pa.array(signed(grams[place])), pa.array(signed(run_hash(sums, low, high + window)))], ["id", "row", "place", "anchor", "reach"])
     return run
 
 
@@ -166,8 +172,8 @@ def _splits(window: int, gram: int):
             for at in range(0, max(1, len(start)), 100_000):
                 s, d, a = start[at:at + 100_000], doc[at:at + 100_000], anchor[at:at + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [c.rows.column("id").take(pa.array(d)), pa.array((s - c.first[d]).astype(np.int32)), pa.array(signed(grams[a])),
-                     pa.array(signed(run_hash(sums, s, s + window)))], ["id", "start", "anchor", "split"])
+                    [*_names(c, d), pa.array((s - c.first[d]).astype(np.int32)), pa.array(signed(grams[a])),
+                     pa.array(signed(run_hash(sums, s, s + window)))], ["id", "row", "start", "anchor", "split"])
     return run
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barley.llm.shared import stash
+from barley.llm.shared import Carried, stash
 
 MOST_ROWS = 6_000
 MOST_TERMS = 4_000
@@ -265,20 +265,22 @@ def _features(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBa
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
-                   most_rows: int = MOST_ROWS) -> DataFrame:
+                   most_rows: int = MOST_ROWS, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """(id, held_out, score, predicted), one row per row of ``df``; nothing but the lexicon, the weights and the training rows moves.
 
-    Null and empty texts have no hits and score as such. Rows without label are scored like all others; a null id is never held out.
+    Null and empty texts have no hits and score as such. Rows without label are scored like all others; a null id is never held out. ``carry`` names columns
+    of ``df`` that come through instead of the id, so that a verdict stays on its row.
     """
     model = train(training_rows(df, labels, id_column, text_column, label_column, most_rows))
     spread = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    scored = rows.mapInArrow(lambda batches: _score(batches, spread), f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    carried = Carried(df, id_column, text_column, carry)
+    with_text = carried.with_text
+    scored = carried.rows.mapInArrow(lambda batches: _score(batches, spread, with_text), carried.schema(carried.rows, "score double"))
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
-    return scored.select(F.col("id").alias(id_column), held.alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))
+    return scored.select(*carried.columns(), held.alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))
 
 
-def _score(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], spread, with_text: bool) -> Iterator[pa.RecordBatch]:
     trie, weights = spread.value
     seen = trie.matches()
     for batch in batches:
@@ -286,7 +288,8 @@ def _score(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch
             part = batch.slice(at, 1024)
             x = np.array([features(t, seen) for t in part.column("text").to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score)], ["id", "score"])
+            own = [c for c in part.schema.names if c != "text" or with_text]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(score)], [*own, "score"])
 
 
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:

@@ -39,7 +39,7 @@ def _power(base: int, n: int) -> np.ndarray:
     key = str(base)
     have = _POWERS.get(key)
     if have is None or len(have) <= n:
-        table = np.full(max(n + 1, CHUNK_BYTES + 2), base, np.uint64)
+        table = np.full(max(n + 1, 1 << 16, 0 if have is None else 2 * len(have)), base, np.uint64)
         table[0] = 1
         have = _POWERS[key] = np.multiply.accumulate(table)
     return have

@@ -63,8 +63,8 @@ def shingle_set(text, n=4):
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
 
 
-def similar(rows, percent=85):
-    sets = {r[0]: shingle_set(r[1]) for r in rows}
+def similar(rows, percent=85, words=4):
+    sets = {r[0]: shingle_set(r[1], words) for r in rows}
     parent = {i: i for i in sets}
 
     def find(x):

@@ -318,7 +318,7 @@ def test_pipeline(spark):
     out = P.run(spark, SF).collect()
     scores = {r.doc_id: r.predicted for r in toxicity.op8_toxicity(spark, SF).collect()}
     left = [(r.doc_id, r.text) for r in docs.collect() if not scores[r.doc_id]]
-    component = X.similar(left)
+    component = X.similar(left, 80, 5)
     left = [r for r in left if component[r[0]][1] == r[0]]
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = X.leaks(left, bench)
