@@ -1,7 +1,8 @@
 """The corpus pipeline: from a documents table to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next stage's docs. All but the last
-return the columns of documents. Null texts pass the filters (nothing speaks against them) and end in no sequence.
+return the columns of documents. Null texts pass the filters (nothing speaks against them) and end in no sequence. Filters act on rows, so that null
+and repeated ids neither save a row nor cost one: rows that agree in id and text are copies of each other, all else is judged by its own text.
 """
 
 from __future__ import annotations
@@ -21,25 +22,33 @@ KEY = "barley"
 WORDS, PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_anti")
+#: keys from here on belong to rows whose id is null or repeated
+ODD = 1 << 62
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("predicted = 1").select("doc_id"))
+    """Rows whose toxicity score stays below the threshold, whatever their id."""
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=docs.columns)
+    return scored.where("predicted = 0").select(docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id."""
-    return _without(docs, similar_components(docs, WORDS, PERCENT).where("component_id < doc_id").select("doc_id"))
+    """Of each component of similar documents the one with the smallest id.
+
+    A row whose id is null or repeated is a document of its own text: it comes after all others, and rows that agree in id and text are one.
+    """
+    repeated = stash(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_odd")), "repeated")
+    odd = F.lit(ODD) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(ODD))
+    keyed = docs.join(repeated, "doc_id", "left").withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_odd"), odd).otherwise(F.col("doc_id").cast("bigint"))).drop("_odd")
+    left_out = similar_components(keyed.select("_key", "text"), WORDS, PERCENT, "_key").where("component_id < _key").select("_key").distinct()
+    kept = keyed.join(left_out, "_key", "left_anti")
+    return kept.where(F.col("_key") < ODD).unionByName(kept.where(F.col("_key") >= ODD).dropDuplicates(["_key"])).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks.where(F.size("spans") > 0).select("doc_id"))
+    """Rows that hold no window of a benchmark item, whatever their id."""
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
+    return leaks.where(F.size("spans") == 0).select(docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
