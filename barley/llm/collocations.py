@@ -1,8 +1,9 @@
 """Phrases of two to four words that occur together more often than their parts let expect, per language.
 
 **Counts.** Each task counts hashed phrases of its texts in sorted arrays and sends one row per phrase and array; Spark adds them. Words and pairs come first.
-A longer phrase can only be frequent if all its pairs are, so three and four words are counted where a filter of fixed size holds all pairs. Frequent
-phrases then get their words, and from here on phrases are compared by words.
+A longer phrase can only be frequent if all its pairs are, so three and four words are counted where a filter of fixed size holds all pairs. With each
+count goes the smallest text hash of those that hold the phrase. The texts named so give frequent phrases their words, nearly each phrase once, and
+from here on phrases are compared by words.
 
 **Streams.** Frequent phrases are kept in two orders, by words from the front (prefix order) and from the back (suffix order), cut into ranges. In prefix order
 every phrase comes right after its own beginnings: one pass with a stack of at most four phrases merges the streams of all lengths in lockstep and
@@ -27,8 +28,9 @@ from barley.llm.words import chunks, lower_ascii, mix, prefix_sums, run_hash, si
 
 LONGEST = 4
 FILTER_BITS = 1 << 27
-#: phrases that a task gathers before it sorts and counts them
-GATHERED = 1 << 22
+#: phrases that a task gathers before it sorts and counts them, and bytes of text that it looks at together
+GATHERED = 1 << 21
+CHUNK = 1 << 19
 #: keys drawn for each range when ranges are cut
 DRAWN = 50
 
@@ -38,7 +40,7 @@ PARTS = BREAK.copy()
 PARTS[[0x20, 0x09]] = True
 
 
-def _phrases(c) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _phrases(c, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each length the first words of phrases within a piece, and the phrases' hashes with their language."""
     breaks = np.zeros(len(c.data) + 1, np.int64)
     np.cumsum(BREAK[c.data], out=breaks[1:])
@@ -46,7 +48,7 @@ def _phrases(c) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     goes_on = (piece[1:] == piece[:-1]) & (c.doc[1:] == c.doc[:-1])
     sums, lang = prefix_sums(c.words_hash()), c.rows.column("lang_hash").to_numpy().view(np.uint64)
     fits = np.ones(len(c.doc), bool)
-    for n in range(1, LONGEST + 1):
+    for n in range(1, longest + 1):
         at = np.flatnonzero(fits)
         yield n, at, mix(run_hash(sums, at, at + n) ^ lang[c.doc[at]])
         fits = fits[:-1] & goes_on[n - 1:] if len(fits) else fits
@@ -57,65 +59,88 @@ def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _counted(gathered: list[np.ndarray]) -> pa.RecordBatch:
-    keys, n = np.unique(np.concatenate(gathered), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n)], ["key", "n"])
+class _Counts:
+    """Hashed phrases and the hashes of their texts, sorted and counted array by array."""
+
+    def __init__(self):
+        self.keys, self.texts, self.size = [], [], 0
+
+    def add(self, c, at: np.ndarray, keys: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.texts.append(c.rows.column("text_hash").to_numpy()[c.doc[at]])
+        self.size += len(keys)
+
+    def counted(self) -> pa.RecordBatch:
+        keys, texts = np.concatenate(self.keys), np.concatenate(self.texts)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n, least = np.diff(np.append(first, len(keys))), np.minimum.reduceat(texts[order], first)
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(signed(keys[first])), pa.array(n), pa.array(least)], ["key", "n", "text_hash"])
+
+
+COUNTED = "key bigint, n bigint, text_hash int"
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words and pairs; a language's hash counts all its words."""
-    gathered, size, totals = [], 0, {}
-    for c in chunks(batches, parts=PARTS, fold=lower_ascii()):
+    counts, totals = _Counts(), {}
+    for c in chunks(batches, parts=PARTS, fold=lower_ascii(), limit=CHUNK):
         for lang, n in zip(c.rows.column("lang_hash").to_pylist(), c.n_words.tolist()):
             totals[lang] = totals.get(lang, 0) + n
-        for n, _, keys in _phrases(c):
-            if n <= 2:
-                gathered.append(keys)
-                size += len(keys)
-        if size >= GATHERED:
-            yield _counted(gathered)
-            gathered, size = [], 0
-    if size:
-        yield _counted(gathered)
-    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["key", "n"])
+        for n, at, keys in _phrases(c, 2):
+            counts.add(c, at, keys)
+        if counts.size >= GATHERED:
+            yield counts.counted()
+    if counts.size:
+        yield counts.counted()
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64()), pa.array([0] * len(totals), pa.int32())], ["key", "n", "text_hash"])
 
 
 def _long(filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, gathered, size = filter_.value, [], 0
-        for c in chunks(batches, parts=PARTS, fold=lower_ascii()):
+        bits, counts = filter_.value, _Counts()
+        for c in chunks(batches, parts=PARTS, fold=lower_ascii(), limit=CHUNK):
             pair = np.zeros(len(c.doc) + LONGEST, bool)
             for n, at, keys in _phrases(c):
                 if n == 2:
                     pair[at] = _in(bits, keys)
                 elif n > 2:
-                    keys = keys[np.logical_and.reduce([pair[at + i] for i in range(n - 1)])]
-                    gathered.append(keys)
-                    size += len(keys)
-            if size >= GATHERED:
-                yield _counted(gathered)
-                gathered, size = [], 0
-        if size:
-            yield _counted(gathered)
+                    own = np.logical_and.reduce([pair[at + i] for i in range(n - 1)])
+                    counts.add(c, at[own], keys[own])
+            if counts.size >= GATHERED:
+                yield counts.counted()
+        if counts.size:
+            yield counts.counted()
     return run
 
 
+def _named(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The hash of a phrase in a text."""
+    return mix(keys ^ mix(texts.astype(np.uint64)))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(signed(_named(b.column("key").to_numpy().view(np.uint64), b.column("text_hash").to_numpy())))], ["key"])
+
+
 def _spelled(filter_):
-    """The words of each phrase that the filter lets through, once per task."""
+    """The words of each phrase in the texts that are named for it; a text that comes again in the task is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = filter_.value, np.zeros(0, np.uint64)
-        for c in chunks(batches, parts=PARTS, fold=lower_ascii()):
+        bits, seen = filter_.value, set()
+        for c in chunks(batches, parts=PARTS, fold=lower_ascii(), limit=CHUNK):
+            hashes = c.rows.column("text_hash").to_numpy()
+            new = np.array([not (h in seen or seen.add(h)) for h in hashes.tolist()], bool)
             found, first, lengths = [], [], []
             for n, at, keys in _phrases(c):
-                own = _in(bits, keys)
-                own, where = np.unique(keys[own], return_index=True), at[own]
-                own, where = own[0], where[own[1]]
-                new = ~np.isin(own, seen, assume_unique=True)
-                found.append(own[new])
-                first.append(where[new])
-                lengths.append(np.full(int(new.sum()), n))
+                own = np.flatnonzero(_in(bits, _named(keys, hashes[c.doc[at]])) & new[c.doc[at]])
+                keys, where = np.unique(keys[own], return_index=True)
+                found.append(keys)
+                first.append(at[own][where])
+                lengths.append(np.full(len(keys), n))
             found, first, lengths = np.concatenate(found), np.concatenate(first), np.concatenate(lengths)
-            seen = np.union1d(seen, found)
             data, start, end = c.data.tobytes(), c.start, c.end
             text = [[data[a:b].decode() for a, b in zip(start[i:i + n].tolist(), end[i:i + n].tolist())] for i, n in zip(first.tolist(), lengths.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(signed(found)), c.rows.column("lang").take(pa.array(c.doc[first])), pa.array(text, pa.list_(pa.string()))], ["key", "lang", "words"])
@@ -134,16 +159,21 @@ def _filter(keys: DataFrame):
 def frequent_phrases(df: DataFrame, least: int, lang_column: str = "lang", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, words, a) of phrases of one to four words that occur ``least`` times, and (lang_hash, n) of all words."""
     lang = F.coalesce(F.col(lang_column).cast("string"), F.lit("und"))
-    rows = df.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_hash"), F.col(text_column).cast("string").alias("text"))
+    rows = df.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_hash"), F.hash(lang, text_column).alias("text_hash"), F.col(text_column).cast("string").alias("text"))
     langs = rows.select("lang_hash").distinct()
-    short = stash(rows.select("lang_hash", "text").mapInArrow(_short, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "short")
+
+    def summed(counted: DataFrame) -> DataFrame:
+        return counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("text_hash").alias("text_hash"))
+
+    texts = rows.select("lang_hash", "text_hash", "text")
+    short = stash(summed(texts.mapInArrow(_short, COUNTED)), "short")
     totals = short.join(langs, short.key == langs.lang_hash).select("lang_hash", "n")
     frequent = short.where(F.col("n") >= least)
-    filter_ = _filter(frequent)
-    long = rows.select("lang_hash", "text").mapInArrow(_long(filter_), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    long = summed(texts.mapInArrow(_long(_filter(frequent.select("key"))), COUNTED)).where(F.col("n") >= least)
     frequent = stash(frequent.unionByName(long), "frequent")
-    spelled = rows.mapInArrow(_spelled(_filter(frequent)), "key bigint, lang string, words array<string>")
-    phrases = spelled.join(frequent, "key").groupBy("key").agg(F.first("lang").alias("lang"), F.first("words").alias("words"), F.first("n").alias("a"))
+    named = _filter(frequent.select("key", "text_hash").mapInArrow(_names, "key bigint"))
+    phrases = rows.mapInArrow(_spelled(named), "key bigint, lang string, words array<string>").join(frequent, "key")
+    phrases = phrases.groupBy("key").agg(F.first("lang").alias("lang"), F.first("words").alias("words"), F.first("n").alias("a"))
     return stash(phrases.drop("key"), "phrases"), totals
 
 
