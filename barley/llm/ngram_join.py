@@ -9,8 +9,8 @@ it could link. A list gives one link per member, not one per pair.
 **Heavy sets** (more than x). An order of all shingles puts those first that few documents hold. A set that links with another shares one of its
 first shingles, so only these are put into inverted lists. The lists of heavy sets are scanned in rounds. In the first each member meets four
 members of about its size, the same for all of its list; one of them is the set that holds the list's shingle earliest in the order, thus has the fewest
-shingles of its own: a group of near copies meets there. Components of what links are formed. In further rounds the members of a list meet such middle sets of its
-first and its last component, as long as that adds links. Then members of components that are still different meet, if place, size and a bound from 128
+shingles of its own: a group of near copies meets there. Components of what links are formed. Where many pairs are left, the members of a list meet such middle sets
+of its first and its last component in further rounds, as long as that adds links. Then members of components that are still different meet, if place, size and a bound from 128
 counts of each set allow the overlap; the sets are compared whole at the end. Members of one component need no further link, so a group
 of copies costs its members, not its pairs.
 
@@ -44,6 +44,8 @@ SAMPLE = 16
 #: bits of the filter that keeps sets which no pair asks for from being moved
 FILTER_BITS = 1 << 27
 COUNTS = 128
+#: a further round is worth its jobs if it costs this much less than the last step
+ROUND = 4
 #: bytes of text that a task looks at together
 CHUNK = 1 << 19
 LARGEST_LIGHT = 24
@@ -125,6 +127,11 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
         grouped = stash(lists.join(groups, "whole", "left").withColumn("component", F.coalesce("component", "whole")), "grouped")
         mixed = stash(grouped.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "mixed")
         open_ = stash(grouped.join(mixed, "key", "left_semi"), "open")
+        # another round costs two comparisons a member, the last step all pairs of different components
+        parts = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        cost = parts.agg(F.sum("n").alias("members"), F.sum(((F.col("n") * F.col("n") - F.col("own")) / 2).cast("double")).alias("pairs")).first()
+        if (cost.pairs or 0) <= 2 * ROUND * (cost.members or 0):
+            break
         middle = open_.groupBy("key", "band", "component").agg(F.min_by("whole", "place").alias("middle"))
         ends = middle.groupBy("key", "band").agg(F.min_by("middle", "component").alias("x"), F.max_by("middle", "component").alias("y")).where("x <> y")
         # a middle set may lie in the next band of sizes
