@@ -15,6 +15,7 @@ from barley.operators.joins import as_of, spread_one
 from barley.operators.spec import BAR, ID, TS
 from barley.plans import quality, risk
 from barley.sources.panel import densify
+from barley.streaming.state import Carried, path_of
 
 
 def live_bars(ticks: DataFrame, width: str, delay: str, key: list[str] | None = None) -> DataFrame:
@@ -41,10 +42,14 @@ def completeness(bars: DataFrame, expected: int) -> DataFrame:
 
 @dataclass
 class FactorStream:
-    """Evaluate a factor set on each batch of completed bars, over a bounded history of bars kept as a table.
+    """Evaluate a factor set on each batch of completed bars, over a bounded history that is carried from batch to batch.
 
-    Every batch writes its own folders, by batch number, and overwrites them when it is run again; a repeated batch after a
-    failure therefore leaves the same result. ``history_bars`` bounds what unbounded operators such as ``ema`` see.
+    The history holds the bars of the last ``history_bars`` times; a batch reads it and its own bars, nothing older, so that its input does not depend on the age
+    of the stream. Bars at or before the newest time of the history are late and dropped, and so are repeated ones. ``history_bars`` also bounds
+    what unbounded operators such as ``ema`` see.
+
+    Folders: ``bars`` (what came), ``factors``, ``ic`` (of the values of the bar before, at each new bar) and ``risk``, by batch number. A batch
+    that is run again after a failure writes the same.
     """
 
     factors: FactorSet
@@ -58,22 +63,38 @@ class FactorStream:
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.folder}/bars/batch={number}")
-        known = spark.read.parquet(f"{self.folder}/bars").where(F.col("batch") <= number)
-        fresh = known.where(F.col("batch") == number).select(TS).distinct()
-        times = known.select(TS).distinct()
-        # the oldest bar time still in the history; an ordered limit keeps only that many rows per task
-        first = times.orderBy(F.desc(TS)).limit(self.history_bars + 1).agg(F.min(TS)).scalar()
-        panel = densify(known.where(F.col(TS) >= first).drop("batch"))
+        batch.write.mode("overwrite").parquet(path_of(self.folder, "bars", number))   # the stream's plan runs once
+        batch = spark.read.schema(batch.schema).parquet(path_of(self.folder, "bars", number))
+        history, values_before = Carried(self.folder, "history"), Carried(self.folder, "last_values")
+        known, published = history.before(spark, number), values_before.before(spark, number)
+        fresh = batch.dropDuplicates([TS, ID])
+        if known is not None:
+            fresh = fresh.where(F.coalesce(F.col(TS) > known.agg(F.max(TS)).scalar(), F.lit(True)))
+            if fresh.isEmpty():
+                history.keep(known, number)
+                values_before.keep(published, number)
+                return
+        known = fresh if known is None else known.unionByName(fresh)
+        # an ordered limit keeps only that many rows per task
+        first = known.select(TS).distinct().orderBy(F.desc(TS)).limit(self.history_bars).agg(F.min(TS)).scalar()
+        history.leave(known.where(F.col(TS) >= first), number)
+
+        panel, times = densify(known), fresh.select(TS).distinct()
         if self.side is not None:
             panel = as_of(panel, self.side, self.side_fields)
         if self.lead:
             panel = spread_one(panel, *self.lead)
         values = melt(self.factors.evaluate(panel), list(self.factors.factors), (TS, ID))
-        values.join(fresh, TS, "left_semi").write.mode("overwrite").parquet(f"{self.folder}/factors/batch={number}")
+        values.join(times, TS, "left_semi").write.mode("overwrite").parquet(path_of(self.folder, "factors", number))
+        values = spark.read.schema(values.schema).parquet(path_of(self.folder, "factors", number))
+        # the values published last, and the new ones, meet the returns that the new bars complete
+        both = values if published is None else published.unionByName(values)
+        ic = quality.realised_ic(both, panel, panel.select(TS, BAR).distinct()).join(times, TS, "left_semi")
+        ic.write.mode("overwrite").parquet(path_of(self.folder, "ic", number))
+        values_before.leave(both.where(F.col(TS) == both.agg(F.max(TS)).scalar()), number)
         if self.refit_every and number % self.refit_every == 0:
             returns = risk.prepared(risk.simple_returns(panel))
-            risk.covariance(returns).write.mode("overwrite").parquet(f"{self.folder}/risk/batch={number}")
+            risk.covariance(returns).write.mode("overwrite").parquet(path_of(self.folder, "risk", number))
         if self.after:
             self.after(panel, number)
 
@@ -85,16 +106,35 @@ class FactorStream:
         return spark.read.parquet(f"{self.folder}/factors").drop("batch")
 
 
-def live_ic(folder: str, panel: DataFrame) -> DataFrame:
-    """Realised IC of published factors on the bar after, from the stream's own tables."""
-    values = panel.sparkSession.read.parquet(f"{folder}/factors").drop("batch")
-    return quality.realised_ic(values, panel, panel.select(TS, BAR).distinct())
+    def realised(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/ic").drop("batch")
+
 
+@dataclass
+class SnapshotStream:
+    """Snapshots of a state that is the newest row of each key: equity, venue or account snapshots.
+
+    Each trigger merges its rows into the state by ``key`` and ``version`` (the largest wins, so late and repeated rows change nothing) and writes
+    ``make(state)``. The state holds one row per key, whatever the age of the stream.
+    """
 
-def periodic(stream: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame], every: str | None = None) -> StreamingQuery:
-    """Write ``make(batch)`` for every trigger: equity, venue or account snapshots. Without ``every``, once over what is there."""
-    def write(batch: DataFrame, number: int) -> None:
-        make(batch).write.mode("overwrite").parquet(f"{folder}/snapshots/batch={number}")
+    folder: str
+    key: list[str]
+    version: list[str]
+    make: Callable[[DataFrame], DataFrame]
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        carried = Carried(self.folder, "state")
+        before = carried.before(batch.sparkSession, number)
+        rows = batch if before is None else before.unionByName(batch)
+        rest = [c for c in batch.columns if c not in self.key]
+        newest = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct(*self.version)).alias("x")).select(*self.key, "x.*").select(*batch.columns)
+        self.make(carried.leave(newest, number)).write.mode("overwrite").parquet(path_of(self.folder, "snapshots", number))
+
+    def start(self, rows: DataFrame, once: bool = False, every: str = "10 seconds") -> StreamingQuery:
+        writer = rows.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/checkpoint")
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    def written(self, spark) -> DataFrame:
+        """All snapshots, with the number of their batch."""
+        return spark.read.parquet(f"{self.folder}/snapshots")

@@ -245,8 +245,8 @@ check("attach_bars", panel_sql() + f""", {SIDE_SQL.replace('side AS', 'whole AS'
   SELECT p.instrument_id, p.ts, CASE WHEN p.instrument_id IN (SELECT instrument_id FROM side) THEN {rs('s.interest', 2)} ELSE 0 END AS other
   FROM panel p {AS_OF}""")(
     lambda s, sf: J.attach_bars(panel(s, sf), daily_orders(s, sf), "interest", "other").select(ID, TS, r("other", 2).alias("other")))
-check("spread_one", panel_sql() + f""" SELECT p.instrument_id, p.ts, {rs('q."close"')} AS lead FROM panel p
-  LEFT JOIN panel q ON q.ts = p.ts AND q.instrument_id = 'S5'""")(
+check("spread_one", panel_sql() + f""", one AS MATERIALIZED (SELECT ts, "close" FROM panel WHERE instrument_id = 'S5')
+  SELECT p.instrument_id, p.ts, {rs('q."close"')} AS lead FROM panel p LEFT JOIN one q USING (ts)""")(
     lambda s, sf: J.spread_one(panel(s, sf), "S5", "close", "lead").select(ID, TS, r("lead").alias("lead")))
 check("spread_one_by_prefix", panel_sql() + f""" SELECT p.instrument_id, p.ts, {rs('q."close"')} AS lead FROM panel p
   LEFT JOIN panel q ON q.ts = p.ts AND q.instrument_id = (SELECT min(instrument_id) FROM panel WHERE lower(instrument_id) LIKE 's%')""")(
@@ -289,10 +289,10 @@ def sample_times(spark, sf):
 
 check("active_positions", f"WITH {POSITIONS_SQL} SELECT t, instrument_id, o_orderkey, side, {rs('value', 2)} AS value, opened, closed FROM active")(
     lambda s, sf: J.active_at(sample_times(s, sf), positions(s, sf)).withColumn("value", r("value", 2)))
-check("latest_snapshot", f"WITH {POSITIONS_SQL}, {SIDE_SQL} SELECT t AS ts, {rs('s.interest', 2)} AS interest FROM times "
-      "ASOF LEFT JOIN (SELECT * FROM side WHERE instrument_id = 'S1') s ON s.ts <= t")(
-    lambda s, sf: J.as_of(sample_times(s, sf).select(F.col("t").alias(TS), F.lit("S1").alias(ID)), daily_orders(s, sf).where(F.col(ID) == "S1"), ["interest"])
-    .select(TS, r("interest", 2).alias("interest")))
+check("latest_snapshot", f"""WITH {POSITIONS_SQL}, {SIDE_SQL} SELECT t AS ts, w.instrument_id, {rs('s.interest', 2)} AS interest
+  FROM (SELECT t, 'S' || i AS instrument_id FROM times, range(10) r(i)) w ASOF LEFT JOIN side s ON s.instrument_id = w.instrument_id AND s.ts <= t""")(
+    lambda s, sf: J.as_of(sample_times(s, sf).select(F.col("t").alias(TS), F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("S"), i))).alias(ID)),
+                          daily_orders(s, sf), ["interest"]).select(TS, ID, r("interest", 2).alias("interest")))
 check("held_not_target", f"""WITH {bars_sql('month')} SELECT instrument_id FROM (SELECT DISTINCT instrument_id FROM bars WHERE ts = TIMESTAMP '1996-01-01')
   WHERE instrument_id NOT IN (SELECT instrument_id FROM bars WHERE ts = TIMESTAMP '1996-02-01' AND volume > 150)""")(
     lambda s, sf: J.rebalance_sets(bars(s, sf, "month").where("ts = '1996-01-01'").select(ID),

@@ -181,10 +181,10 @@ for _t, _strict in (("normalize", False), ("cs_rank", False), ("cs_zscore", True
     from oracle.base import factor_query as _fq
     QUERIES[f"composite_{_t}"] = _fq(lambda s=_set: s, 6, "month")
 q("regime_composite", (LABELS + """, z AS (SELECT *, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM vals WINDOW w AS (PARTITION BY ts, factor)),
-  lb AS (SELECT z.*, l.label FROM z JOIN (SELECT * FROM labels2 WHERE ts >= TIMESTAMP '1996-01-01') l USING (ts)),
+  lb AS (SELECT z.*, l.label FROM z JOIN labels2 l USING (ts)),
   wt AS (SELECT *, CASE WHEN label = 'calm' THEN CASE factor WHEN 'mom' THEN 0.8 ELSE -0.2 END ELSE 0.5 END AS w FROM lb WHERE z IS NOT NULL)""",
   "SELECT ts, instrument_id, sum(w * z) / sum(abs(w)) AS composite FROM wt GROUP BY 1, 2"),
-  lambda s, sf: R.regime_composite(wide(s, sf), labels(s, sf).where("ts >= '1996-01-01'"),
+  lambda s, sf: R.regime_composite(wide(s, sf), labels(s, sf),
                                    s.createDataFrame([("calm", "mom", 0.8), ("calm", "vol", -0.2)], "label string, factor string, weight double"), ["mom", "vol"]), ["composite"], BASE)
 def fold_table(spark, sf):
     return R.folds(axis(spark, sf), 4, 0.15, 2, 0.1)
