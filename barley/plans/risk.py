@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barley.functions.numeric import ratio
 from barley.operators.chunks import with_previous
 from barley.operators.spec import BAR, ID, TS, Slice
+from barley.plans.gram import pair_sums
 from barley.session import cut_lineage
 
-#: bars of one task of a moment sum
-CHUNK = 256
+#: bars and instruments of a matrix, and chunks of bars that a task adds up
+CHUNK, TILE, RUN = 256, 256, 16
 
 
 def simple_returns(panel: DataFrame) -> DataFrame:
@@ -42,32 +46,87 @@ def prepared(returns: DataFrame, tail: float = 0.0, fill: bool = True, percent:
     return returns
 
 
-def moments(returns: DataFrame) -> DataFrame:
-    """Mean products of two instruments over time: ``s`` of order (1,1), ``y22``, ``y31``, and those with the market return.
-
-    Each task multiplies the matrix of a chunk of bars; the products are summed over chunks. Rows are complete.
+#: all moments: mean products over time of order (1,1), (2,2), (3,1), and those with the market return
+MOMENTS = ("s", "y22", "y31", "y21m", "y11mm", "xm")
+
+
+def _products(wanted: tuple[str, ...], x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict[str, np.ndarray]:
+    """Products over bars of the columns of ``x`` with those of ``y``; ``m`` is the market return of each bar."""
+    makes = {"s": lambda: x.T @ y, "y22": lambda: (x ** 2).T @ y ** 2, "y31": lambda: (x ** 3).T @ y, "y21m": lambda: (x ** 2).T @ (y * m),
+             "y11mm": lambda: (x * m).T @ (y * m), "xm": lambda: np.repeat((x * m).sum(axis=0)[:, None], y.shape[1], axis=1)}
+    return {name: makes[name]() for name in wanted}
+
+
+def _packed(wide: int):
+    """Cells of one tile and chunk of bars to one row: a matrix of bars by places, and the market of each bar."""
+    def run(table: pa.Table) -> pa.Table:
+        at, place = (table.column(c).to_numpy() for c in ("at", "place"))
+        x, m = np.zeros((CHUNK, wide)), np.zeros(CHUNK)
+        x[at, place] = table.column("ret").to_numpy()
+        m[at] = table.column("mkt").to_numpy()
+        return pa.table({"tile": table.column("tile").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "x": pa.array([x.tobytes()]), "m": pa.array([m.tobytes()])})
+    return run
+
+
+def _summed(wanted: tuple[str, ...], wide: int):
+    """Products of tile pairs, added up over the chunks that a task gets in order; one set of rows per pair and run of chunks."""
+    names = ["ti", "pi", "tj", "pj", *wanted]
+
+    def rows(pair: tuple, sums: dict[str, np.ndarray], turned: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for (a, b), own in ((pair, sums), (pair[::-1], turned)):
+            if own:
+                i, j = np.divmod(np.arange(wide * wide), wide)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), a, np.int32)), pa.array(i.astype(np.int32)), pa.array(np.full(len(i), b, np.int32)),
+                                                  pa.array(j.astype(np.int32)), *(pa.array(own[n].ravel()) for n in wanted)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, sums, turned = None, {}, {}
+        for batch in batches:
+            for a, b, x, y, m, other in zip(*(batch.column(c).to_pylist() for c in ("ti", "tj", "x", "y", "m", "my"))):
+                if (a, b) != pair:
+                    yield from rows(pair, sums, turned) if pair else ()
+                    pair, sums, turned = (a, b), {}, {}
+                x, y, m, other = (np.frombuffer(v) for v in (x, y, m, other))
+                # a tile knows the market of the bars at which it has returns
+                x, y, m = x.reshape(CHUNK, wide), y.reshape(CHUNK, wide), np.where(m != 0, m, other)[:, None]
+                for total, new in ((sums, _products(wanted, x, y, m)), (turned, _products(wanted, y, x, m) if a != b else {})):
+                    for name, value in new.items():
+                        total[name] = total[name] + value if name in total else value
+        yield from rows(pair, sums, turned) if pair else ()
+    return run
+
+
+def moments(returns: DataFrame, wanted: tuple[str, ...] = MOMENTS, tile: int = TILE) -> DataFrame:
+    """(i, j, and the moments ``wanted``), complete: means over all bars, a missing return counts 0.
+
+    Instruments are dealt to tiles. A tile's returns of 256 bars are one matrix; a task multiplies the matrices of two tiles, bar chunk by bar chunk, and
+    keeps only their sums. No task holds more than two such matrices and the products of their columns.
     """
+    names = returns.select(ID).distinct()
+    tiles = max(1, -(-names.count() // tile))
+    names = names.withColumn("tile", F.pmod(F.xxhash64(ID), F.lit(tiles)).cast("int"))
+    names = cut_lineage(names.withColumn("place", F.row_number().over(Window.partitionBy("tile").orderBy(ID)) - 1))
+    wide = names.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0] + 1
+    kinds = [m for m in wanted if "m" in m]
     market = returns.groupBy(BAR).agg(F.avg("ret").alias("mkt"))
-    rows = returns.join(market, BAR).withColumn("_chunk", F.floor(F.col(BAR) / CHUNK))
-
-    def products(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.pivot(index=BAR, columns=ID, values="ret").fillna(0.0)
-        m = group.groupby(BAR)["mkt"].first().reindex(x.index).to_numpy(float)[:, None]
-        names, x = np.array(x.columns, dtype=object), x.to_numpy(float)
-        n = len(names)
-        return pd.DataFrame({"i": np.repeat(names, n), "j": np.tile(names, n), "s": (x.T @ x).ravel(),
-                             "y22": ((x ** 2).T @ x ** 2).ravel(), "y31": ((x ** 3).T @ x).ravel(),
-                             "y21m": ((x ** 2).T @ (x * m)).ravel(), "y11mm": ((x * m).T @ (x * m)).ravel(),
-                             "xm": np.repeat((x * m).sum(axis=0), n)})
-
-    sums = rows.groupBy("_chunk").applyInPandas(products, "i string, j string, s double, y22 double, y31 double, y21m double, y11mm double, xm double")
+    rows = returns.join(market, BAR) if kinds else returns.withColumn("mkt", F.lit(0.0))
+    cells = rows.join(names, ID).where("ret IS NOT NULL").select(
+        "tile", "place", F.floor(F.col(BAR) / CHUNK).alias("chunk"), F.pmod(F.col(BAR), F.lit(CHUNK)).cast("int").alias("at"), F.col("ret").cast("double").alias("ret"),
+        F.coalesce("mkt", F.lit(0.0)).alias("mkt"))
+    blocks = cut_lineage(cells.groupBy("tile", "chunk").applyInArrow(_packed(wide), "tile int, chunk bigint, x binary, m binary"))
+    second = blocks.select("chunk", F.col("tile").alias("tj"), F.col("x").alias("y"), F.col("m").alias("my"))
+    pairs = blocks.withColumnRenamed("tile", "ti").join(second, "chunk").where("ti <= tj")
+    pairs = pairs.repartition("ti", "tj", F.floor(F.col("chunk") / RUN)).sortWithinPartitions("ti", "tj", "chunk")
+    sums = pairs.mapInArrow(_summed(wanted, wide), "ti int, pi int, tj int, pj int, " + ", ".join(f"{m} double" for m in wanted))
     bars = returns.select(BAR).distinct().agg(F.count(F.lit(1))).scalar()
-    return sums.groupBy("i", "j").agg(*[(F.sum(c) / bars).alias(c) for c in ("s", "y22", "y31", "y21m", "y11mm", "xm")])
+    means = sums.groupBy("ti", "pi", "tj", "pj").agg(*[(F.sum(m) / bars).alias(m) for m in wanted])
+    left, right = (names.select(F.col(ID).alias(k), F.col("tile").alias(f"t{k}"), F.col("place").alias(f"p{k}")) for k in "ij")
+    return means.join(left, ["ti", "pi"]).join(right, ["tj", "pj"]).select("i", "j", *wanted)
 
 
 def covariance(returns: DataFrame) -> DataFrame:
     """Mean products with 1/T; returns are centred before."""
-    return moments(returns).select("i", "j", F.col("s").alias("value"))
+    return moments(returns, ("s",)).select("i", "j", F.col("s").alias("value"))
 
 
 def _with_diagonals(m: DataFrame) -> DataFrame:
@@ -180,11 +239,12 @@ def specific_variance(residuals: DataFrame, weights: DataFrame, share: float = 0
 
 
 def factor_covariance(factor_returns: DataFrame, names: list[str]) -> DataFrame:
-    """Sample covariance of factor returns; one aggregation with K x K results."""
-    row = factor_returns.agg(*[F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)])
-    cells = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"{i}_{j}").alias("value"))
-                      for i, a in enumerate(names) for j, b in enumerate(names)])
-    return row.select(F.inline(cells))
+    """Sample covariance of factor returns over the times that have both; a matrix of sums per task, added up."""
+    n = F.col("n")
+    half = pair_sums(factor_returns, names).select("i", "j", ratio(F.col("xy") - F.col("x") * F.col("y") / n, n - 1).alias("value"))
+    full = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    label = F.array(*map(F.lit, names))
+    return full.select(F.get(label, F.col("i")).alias("i"), F.get(label, F.col("j")).alias("j"), "value")
 
 
 def asset_covariance(exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame) -> DataFrame:

@@ -7,18 +7,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barley.functions.numeric import ratio
-from barley.functions.stats import correlate
 from barley.operators.cross import cs_rank_average
 from barley.operators.joins import as_of
 from barley.operators.spec import BAR, ID, TS, Slice
+from barley.plans.gram import by_time, pair_sums
 from barley.session import cut_lineage
 
 # Thresholds a period must pass, and the weights of the score.
@@ -229,16 +231,15 @@ def conflicts(factors: DataFrame) -> DataFrame:
 def factor_correlation(wide: DataFrame, names: list[str], new: list[str] | None = None, min_assets: int = 5) -> DataFrame:
     """``(a, b, corr)``: mean over time of the rank correlation of two factors across instruments.
 
-    One task holds one timestamp. With ``new``, only pairs with a new factor are returned.
+    A task goes through its times one by one and keeps sums of their correlations. With ``new``, only pairs with a new factor are returned.
     """
     wanted = set(names if new is None else new)
     left, right = np.triu_indices(len(names), 1)
-    keep = [names[i] in wanted or names[j] in wanted for i, j in zip(left, right)]
+    keep = np.array([names[i] in wanted or names[j] in wanted for i, j in zip(left, right)], bool)
     left, right = left[keep], right[keep]
-    label = np.array(names, dtype=object)
 
-    def one_time(group: pd.DataFrame) -> pd.DataFrame:
-        x = group[names].rank().to_numpy(float)
+    def correlations(frame: pd.DataFrame) -> np.ndarray:
+        x = frame.rank().to_numpy(float)
         there = ~np.isnan(x)
         x = np.where(there, x, 0.0)
         x = np.where(there, x - x.sum(axis=0) / np.maximum(there.sum(axis=0), 1), 0.0)
@@ -247,12 +248,19 @@ def factor_correlation(wide: DataFrame, names: list[str], new: list[str] | None
         with np.errstate(all="ignore"):
             cov = sxy - sx * sx.T / n
             corr = cov / np.sqrt((sxx - sx * sx / n) * (sxx.T - sx.T * sx.T / n))
-        corr = np.where((n >= min_assets) & np.isfinite(corr), corr, np.nan)[left, right]
-        ok = ~np.isnan(corr)
-        return pd.DataFrame({"a": label[left][ok], "b": label[right][ok], "c": corr[ok]})
+        return np.where((n >= min_assets) & np.isfinite(corr), corr, np.nan)[left, right]
 
-    parts = wide.select(TS, *names).groupBy(TS).applyInPandas(one_time, "a string, b string, c double")
-    return parts.groupBy("a", "b").agg(F.avg("c").alias("corr"))
+    def summed(times: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(left)), np.zeros(len(left), np.int64)
+        for frame in times:
+            c = correlations(frame)
+            total, n = total + np.nan_to_num(c), n + ~np.isnan(c)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(left[some].astype(np.int32)), pa.array(right[some].astype(np.int32)), pa.array(total[some]), pa.array(n[some])], ["i", "j", "c", "n"])
+
+    sums = by_time(wide, names, summed, "i int, j int, c double, n bigint").groupBy("i", "j").agg((F.sum("c") / F.sum("n")).alias("corr"))
+    label = F.array(*map(F.lit, names))
+    return sums.select(F.get(label, F.col("i")).alias("a"), F.get(label, F.col("j")).alias("b"), "corr")
 
 
 def decorrelated(scored: DataFrame, correlation: DataFrame, limit: float, gate: list[str] = ()) -> DataFrame:
@@ -268,18 +276,15 @@ def distance(correlation: DataFrame, signed: bool = False) -> DataFrame:
 
 
 def gram(wide: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
-    """Correlation matrix over all complete rows. Only K x K sums reach the driver."""
-    whole = wide.dropna(subset=names)
-    stats = whole.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)], *[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names)])
-    z = whole.join(F.broadcast(stats)).select(*[  # one row
-        F.coalesce(ratio(F.col(n) - F.col(f"m{i}"), F.col(f"s{i}")), F.lit(0.0)).alias(f"z{i}") for i, n in enumerate(names)])
-    k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = z.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    out = np.eye(k)
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"c{i}_{j}"]
-    return out, row["n"]
+    """Correlation matrix over all complete rows. Each task keeps one K x K matrix of sums; only their total reaches the driver."""
+    sums = pair_sums(wide.dropna(subset=names), names).toArrow()
+    i, j, n, x, y, xy = (sums.column(c).to_numpy() for c in ("i", "j", "n", "x", "y", "xy"))
+    rows = int(n.max(initial=0))
+    cov = np.zeros((len(names), len(names)))
+    cov[i, j] = cov[j, i] = (xy - x * y / max(rows, 1)) / max(rows, 1)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(cov / np.outer(spread, spread), posinf=0.0, neginf=0.0), rows
 
 
 def orthogonal_transform(wide: DataFrame, names: list[str], smallest: float = 1e-6, most: float = 1e6) -> np.ndarray:
@@ -300,14 +305,11 @@ def transformed_weights(weights: list[float], transform: np.ndarray) -> list[flo
 
 
 def orthogonal_overlap(wide: DataFrame, names: list[str], transform: np.ndarray) -> DataFrame:
-    """Correlation of each factor with its orthogonalised form."""
-    whole = wide.dropna(subset=names)
-    stats = whole.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)], *[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names)])
-    z = [ratio(F.col(n) - F.col(f"m{i}"), F.col(f"s{i}")) for i, n in enumerate(names)]
-    turned = [sum((z[j] * float(transform[j, i]) for j in range(len(names))), F.lit(0.0)) for i in range(len(names))]
-    rows = whole.join(F.broadcast(stats))  # one row
-    out = rows.agg(*[correlate(F.col(n), turned[i]).alias(n) for i, n in enumerate(names)])
-    return out.unpivot([], names, "factor_id", "overlap")
+    """Correlation of each factor with its orthogonalised form: both are sums of the same standardised columns, so their correlation matrix gives it."""
+    matrix, _ = gram(wide, names)
+    with np.errstate(all="ignore"):
+        overlap = np.diag(matrix @ transform) / np.sqrt(np.diag(transform.T @ matrix @ transform) * np.diag(matrix))
+    return wide.sparkSession.createDataFrame([(n, float(v) if np.isfinite(v) else None) for n, v in zip(names, overlap)], "factor_id string, overlap double")
 
 
 def group_weights(members: DataFrame, how: str = "equal") -> DataFrame:
