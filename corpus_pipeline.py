@@ -37,12 +37,18 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A row whose id is null or repeated is a document of its own text: it comes after all others, and rows that agree in id and text are one.
     """
-    repeated = stash(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_odd")), "repeated")
-    odd = F.lit(ODD) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(ODD))
-    keyed = docs.join(repeated, "doc_id", "left").withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_odd"), odd).otherwise(F.col("doc_id").cast("bigint"))).drop("_odd")
-    left_out = similar_components(keyed.select("_key", "text"), WORDS, PERCENT, "_key").where("component_id < _key").select("_key").distinct()
+    repeated = stash(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id", F.lit(True).alias("_odd")), "repeated")
+    odd = not repeated.isEmpty()
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("bigint"))
+    if odd:
+        own = F.lit(ODD) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(ODD))
+        keyed = docs.join(repeated, "doc_id", "left").withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_odd"), own).otherwise(F.col("doc_id").cast("bigint"))).drop("_odd")
+    # written, so that its size is known where it is joined to the texts
+    left_out = stash(similar_components(keyed.select("_key", "text"), WORDS, PERCENT, "_key").where("component_id < _key").select("_key").distinct(), "left_out")
     kept = keyed.join(left_out, "_key", "left_anti")
-    return kept.where(F.col("_key") < ODD).unionByName(kept.where(F.col("_key") >= ODD).dropDuplicates(["_key"])).select(docs.columns)
+    if odd:
+        kept = kept.where(F.col("_key") < ODD).unionByName(kept.where(F.col("_key") >= ODD).dropDuplicates(["_key"]))
+    return kept.select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
