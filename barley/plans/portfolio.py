@@ -16,6 +16,8 @@ from barley.operators.joins import active_at, as_of, with_label
 from barley.operators.spec import ID, TS, Slice
 
 C = Slice((TS,))
+#: bars of a stretch of a state machine
+STRETCH = 256
 
 
 def _placed(scores: DataFrame) -> DataFrame:
@@ -56,41 +58,27 @@ def threshold_positions(signals: DataFrame, level: float) -> DataFrame:
     """One position per instrument: flat enters long where the score is +level and short where it is -level; a long ends when the close is below its
     mean, a short when it is above. A bar enters or ends, never both. Columns score, close, mean.
 
-    A bar maps each of the three states to the next one. Chunks of a series are reduced to their maps, only these are walked from chunk to chunk,
-    and each chunk is then replayed from its own first state.
+    A bar maps each of the three states to the next one, and maps are put together like numbers are added. Stretches of 256 bars become one map each, only
+    these go from stretch to stretch, and each stretch is then gone through from its own first state.
     """
-    cut = signals.withColumn("_chunk", F.floor(seconds() / F.lit(float(SPAN)))).withColumns({
-        "_enter": F.when(F.col("score") == level, 1).when(F.col("score") == -level, -1).otherwise(0),
-        "_below": F.coalesce(F.col("close") < F.col("mean"), F.lit(False)), "_above": F.coalesce(F.col("close") > F.col("mean"), F.lit(False))})
-    types = dict(cut.dtypes)
-
-    def replay(group: pd.DataFrame, state: int) -> list[int]:
-        out = []
-        for enter, below, above in zip(group["_enter"], group["_below"], group["_above"]):
-            ends = (state == 1 and below) or (state == -1 and above)
-            state = enter if state == 0 else 0 if ends else state
-            out.append(state)
-        return out
-
-    def summary(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(TS)
-        return pd.DataFrame({ID: [group[ID].iloc[0]], "_chunk": [group["_chunk"].iloc[0]], **{f"_from{k}": [replay(group, k - 1)[-1]] for k in range(3)}})
-
-    def walk(chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks, state, first = chunks.sort_values("_chunk"), 0, []
-        for ends in chunks[["_from0", "_from1", "_from2"]].itertuples(index=False):
-            first.append(state)
-            state = ends[state + 1]
-        return chunks.assign(_first=first)[[ID, "_chunk", "_first"]]
-
-    def states(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(TS)
-        return group.assign(side=replay(group, int(group["_first"].iloc[0])))[[TS, ID, "side"]]
-
-    key = f"{ID} {types[ID]}, _chunk bigint"
-    narrow = cut.select(TS, ID, "_chunk", "_enter", "_below", "_above")
-    firsts = narrow.groupBy(ID, "_chunk").applyInPandas(summary, f"{key}, _from0 int, _from1 int, _from2 int").groupBy(ID).applyInPandas(walk, f"{key}, _first int")
-    return narrow.join(firsts, [ID, "_chunk"]).groupBy(ID, "_chunk").applyInPandas(states, f"{TS} {types[TS]}, {ID} {types[ID]}, side int")
+    enter = F.when(F.col("score") == level, 1).when(F.col("score") == -level, -1).otherwise(0)
+    below, above = (F.coalesce(x, F.lit(False)) for x in (F.col("close") < F.col("mean"), F.col("close") > F.col("mean")))
+    # the states after a bar, from short, flat and long
+    step = F.array(F.when(above, 0).otherwise(-1), enter, F.when(below, 0).otherwise(1))
+    rows = with_running(signals.select(TS, ID, step.alias("_step")), {"_n": F.lit(1)}, [TS], [ID], seconds())
+    parts = rows.groupBy(ID, F.floor((F.col("_n") - 1) / STRETCH).alias("_part")).agg(F.array_sort(F.collect_list(F.struct(TS, "_step"))).alias("_bars"))
+    parts = parts.withColumn("_map", F.aggregate("_bars", F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda m, bar: F.transform(m, lambda s: F.get(bar["_step"], s + 1))))
+
+    def walked(maps: Column, first: Column, step) -> Column:
+        """The states before the first and after each of ``maps``."""
+        return F.aggregate(maps, F.array(first), lambda done, x: F.concat(done, F.array(F.get(step(x), F.element_at(done, -1) + 1))))
+
+    chains = parts.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("_part", "_map"))).alias("_chain"))
+    starts = chains.select(ID, F.explode(F.arrays_zip(F.col("_chain")["_part"].alias("_part"), walked(F.col("_chain"), F.lit(0), lambda x: x["_map"]).alias("_first"))).alias("_s"))
+    starts = starts.select(ID, F.col("_s")["_part"].alias("_part"), F.col("_s")["_first"].alias("_first")).where("_part IS NOT NULL")
+    after = F.slice(walked(F.col("_bars"), F.col("_first"), lambda x: x["_step"]), 2, STRETCH)
+    both = parts.join(starts, [ID, "_part"]).select(ID, F.explode(F.arrays_zip(F.col("_bars")[TS].alias("ts"), after.alias("side"))).alias("_x"))
+    return both.select(F.col("_x")["ts"].alias(TS), ID, F.col("_x")["side"].alias("side"))
 
 
 def dropout_selection(scores: DataFrame, k: int, n_drop: int, portfolio: str = "portfolio") -> DataFrame:

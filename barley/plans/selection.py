@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -181,23 +181,41 @@ def _walk(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(chosen), "chosen": list(chosen.values())})
 
 
-def near_duplicates(table: DataFrame, columns: list[str], tolerance: float = 1e-4) -> DataFrame:
+def near_duplicates(table: DataFrame, columns: list[str], tolerance: float = 1e-4, crowd: int = 64) -> DataFrame:
     """Factors whose metric vectors lie within ``tolerance``: ``kept`` marks the smallest ids. A missing metric counts as 0.
 
-    Equal vectors collapse first. Near ones meet in a grid of that width over the first two columns; the distance takes them all.
+    Equal vectors collapse first. Near ones meet in the cells of a grid of that width over the first two columns; a cell with many of them is cut by
+    the next column, and so on, so that vectors that agree in some columns do not all meet. The distance takes all columns.
     """
     filled = table.select("factor_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    exact = filled.groupBy(*columns).agg(F.min("factor_id").alias("id"))
+    exact = cut_lineage(filled.groupBy(*columns).agg(F.min("factor_id").alias("id")))
+    place = {c: F.floor(F.col(c) / F.lit(tolerance)) for c in columns}
+
+    def about(c: str) -> Column:
+        return F.explode(F.array(*[place[c] + s for s in (-1, 0, 1)]))
+
     grid = columns[:2]
-    cell = [F.floor(F.col(c) / F.lit(tolerance)).alias(f"_{c}") for c in grid]
-    home = exact.select("id", *columns, *cell)
-    around = F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(step)])
-                       for step in product((-1, 0, 1), repeat=len(grid))])
-    near = home.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns], F.explode(around).alias("s"),
-                       *[f"_{c}" for c in grid])
-    near = near.select("b", *[f"{c}_b" for c in columns], *[(F.col(f"_{c}") + F.col("s")[f"s{i}"]).alias(f"_{c}") for i, c in enumerate(grid)])
+    home = exact.withColumn("_cell", F.array(*[place[c] for c in grid]))
+    near = exact
+    for i, c in enumerate(grid):
+        near = near.withColumn(f"_{i}", about(c))
+    near = near.withColumn("_cell", F.array(*[f"_{i}" for i in range(len(grid))])).drop(*[f"_{i}" for i in range(len(grid))])
+    meeting: list[tuple[DataFrame, DataFrame]] = []
+    for c in columns[2:]:
+        full = home.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("_cell")
+        full = cut_lineage(full)
+        if full.isEmpty():
+            break
+        meeting.append((home.join(full, "_cell", "left_anti"), near.join(full, "_cell", "left_anti")))
+        home = cut_lineage(home.join(full, "_cell", "left_semi").withColumn("_cell", F.concat("_cell", F.array(place[c]))))
+        near = near.join(full, "_cell", "left_semi").withColumn("_next", about(c))
+        near = cut_lineage(near.withColumn("_cell", F.concat("_cell", F.array("_next"))).drop("_next"))
+    meeting.append((home, near))
+    other = [F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns], "_cell"]
+    home, near = (reduce(DataFrame.unionByName, [m[k] for m in meeting]) for k in (0, 1))
+    near = near.select(*other)
     square = sum(((F.col(c) - F.col(f"{c}_b")) ** 2 for c in columns), F.lit(0.0))
-    edges = home.join(near, [f"_{c}" for c in grid]).where((F.col("id") < F.col("b")) & (F.sqrt(square) < tolerance))
+    edges = home.join(near, "_cell").where((F.col("id") < F.col("b")) & (F.sqrt(square) < tolerance))
     kept = greedy(exact.select("id", F.col("id").alias("place"), F.lit(False).alias("fixed")), edges.select(F.col("id").alias("a"), "b"))
     return table.select("factor_id").join(kept.where("kept").select(F.col("id").alias("factor_id"), F.lit(True).alias("kept")),
                                           "factor_id", "left").fillna(False, ["kept"])
