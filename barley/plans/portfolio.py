@@ -304,9 +304,12 @@ def execution_report(orders: DataFrame) -> DataFrame:
 
 
 def execution_summary(orders: DataFrame) -> DataFrame:
+    """Per venue: completed and failed orders and all others as active, chases, orders that fell back to the market, and the share of limit orders among
+    those of a known kind (1 where there is none). ``orders(venue, status, chases, kind, fallback)``."""
+    status, limit, market = F.coalesce("status", F.lit("")), F.count_if(F.col("kind") == "limit"), F.count_if(F.col("kind").isin("market", "sweep"))
     return orders.groupBy("venue").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("active", "completed", "failed")],
-        F.sum("chases").alias("chases"), F.avg((F.col("kind") == "limit").cast("double")).alias("limit_share"))
+        F.count_if(~status.isin("completed", "failed")).alias("active"), F.count_if(status == "completed").alias("completed"), F.count_if(status == "failed").alias("failed"),
+        F.sum("chases").alias("chases"), F.count_if("fallback").alias("fallbacks"), F.coalesce(ratio(limit, limit + market), F.lit(1.0)).alias("limit_share"))
 
 
 def account_snapshot(positions: DataFrame, by: str) -> DataFrame:

@@ -21,6 +21,7 @@ from barley.operators.cross import cs_rank_average
 from barley.operators.joins import as_of
 from barley.operators.spec import BAR, ID, TS, Slice
 from barley.plans.gram import by_time, pair_sums
+from barley.plans.quality import newey_west
 from barley.session import cut_lineage
 
 # Thresholds a period must pass, and the weights of the score.
@@ -404,6 +405,16 @@ def fold_icir(ic: DataFrame, axis: DataFrame, table: DataFrame, at_least: int =
         F.avg("ic").alias("ic_mean"), F.count(F.lit(1)).alias("n"))
 
 
+def holdout_metrics(ic: DataFrame, axis: DataFrame, table: DataFrame, at_least: int = 10) -> DataFrame:
+    """IC of each factor and horizon on the holdout bars (fold -1): mean, deviation, ICIR (from ``at_least`` observations on), count, and the t, p and effective count
+    under autocorrelation."""
+    held = table.where("fold = -1").select("test_start", "test_end")   # one row
+    rows = ic.where("ic IS NOT NULL").join(axis, TS).join(F.broadcast(held), (F.col(BAR) >= F.col("test_start")) & (F.col(BAR) < F.col("test_end"))).select(TS, "factor", "horizon", "ic")
+    n, spread = F.count(F.lit(1)), F.stddev_samp("ic")
+    plain = rows.groupBy("factor", "horizon").agg(F.avg("ic").alias("ic_mean"), spread.alias("ic_std"), F.when(n >= at_least, ratio(F.avg("ic"), spread)).alias("icir"), n.alias("n"))
+    return plain.join(newey_west(rows).select("factor", "horizon", "nw_t", "nw_p", "n_eff"), ["factor", "horizon"], "left")
+
+
 def grid_best(fold_table: DataFrame, k: int) -> DataFrame:
     """Parameter values (one factor each) by their mean absolute fold ICIR; the best ``k``."""
     means = fold_table.where("fold >= 0").groupBy("factor", "horizon").agg(F.avg("icir").alias("icir"))
@@ -419,6 +430,31 @@ def stability(grid: DataFrame, parameter: str = "parameter") -> DataFrame:
     return grid.withColumn("stability", F.when(alone, 1.0).otherwise(ratio(F.least(low, high), F.abs("icir"))))
 
 
+def lattice_stability(grid: DataFrame, parameters: list[str]) -> DataFrame:
+    """``stability`` of each combination of parameter values: the least absolute ICIR of its neighbours, which differ in one parameter by one step of that
+    parameter's own values, over its own; 1 where there is no neighbour, null where its own ICIR is 0 or missing.
+
+    Steps are places in the short tables of a parameter's values. Each combination is handed to its neighbours' places and met there, by key.
+    """
+    placed = grid.select("horizon", *parameters, "icir")
+    for p in parameters:
+        values = grid.select(p).where(F.col(p).isNotNull()).distinct()
+        placed = placed.join(values.withColumn(f"_{p}", F.row_number().over(Window.orderBy(p))), p)
+    own = [f"_{p}" for p in parameters]
+    steps = F.array(*[F.array(*[F.lit(s if q == p else 0) for q in parameters]) for p in parameters for s in (-1, 1)])
+    handed = placed.where("icir IS NOT NULL").select("horizon", F.abs("icir").alias("_other"), *own, F.explode(steps).alias("_s"))
+    handed = handed.select("horizon", "_other", *[(F.col(c) + F.col("_s")[i]).alias(c) for i, c in enumerate(own)])
+    least = placed.join(handed, ["horizon", *own]).groupBy("horizon", *own).agg(F.min("_other").alias("_least"))
+    size = F.when(F.col("icir") != 0, F.abs("icir"))
+    out = placed.join(least, ["horizon", *own], "left")
+    return out.select("horizon", *parameters, "icir", F.when(F.col("_least").isNull() & size.isNotNull(), 1.0).otherwise(F.col("_least") / size).alias("stability"))
+
+
+def covered(values: DataFrame, cells: int, share: float = 0.9) -> DataFrame:
+    """``(factor, n)`` of factors with values in at least ``share`` of all cells of the panel."""
+    return values.groupBy("factor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= share * cells)
+
+
 def corrected(table: DataFrame, tests: int, p: str = "p") -> DataFrame:
     """p-values for ``tests`` trials of which the best is kept (Bonferroni; the false discovery form is the same then)."""
     value = F.least(F.lit(1.0), F.col(p) * tests) if tests > 1 else F.col(p)

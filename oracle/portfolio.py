@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barley.operators import FactorSet
 from barley.operators.factorset import melt
 from barley.operators.spec import BAR, ID, TS
+from barley.plans.selection import covered
 from barley.plans import portfolio as P, risk as K
 
 from oracle.base import FIELDS, QUERIES, add_factors, panel, panel_sql, r, rs, table
@@ -254,12 +255,12 @@ def executions(s, sf):
         F.col("l_extendedprice").alias("anchor_price"), (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("fill_price"), F.col("l_shipdate").alias("created"),
         F.timestamp_seconds(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * 60).cast("timestamp_ntz").alias("completed"),
         F.concat(F.lit("V"), F.col("l_suppkey") % 4).alias("venue"), F.element_at(F.array(*map(F.lit, ("active", "completed", "failed"))), (F.col("l_partkey") % 3 + 1).cast("int")).alias("status"),
-        F.col("l_linenumber").alias("chases"), F.when(F.col("l_returnflag") == "A", "limit").otherwise("market").alias("kind"))
+        F.col("l_linenumber").alias("chases"), F.when(F.col("l_returnflag") == "A", "limit").when(F.col("l_returnflag") == "N", "market").alias("kind"), (F.col("l_linestatus") == "F").alias("fallback"))
 
 
 q("execution_report", "SELECT l_orderkey AS order_id, CASE WHEN l_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 1 - l_discount AS fill_ratio, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END * l_extendedprice * l_tax AS slippage, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END * l_tax * 10000 AS slippage_bps, l_linenumber * 60.0::DOUBLE AS elapsed FROM lineitem",
   lambda s, sf: P.execution_report(executions(s, sf)), ["fill_ratio", "slippage", "slippage_bps"], "WITH d AS (SELECT 1)")
-q("execution_summary", "SELECT 'V' || (l_suppkey % 4) AS venue, count(*) FILTER (l_partkey % 3 = 0) AS active, count(*) FILTER (l_partkey % 3 = 1) AS completed, count(*) FILTER (l_partkey % 3 = 2) AS failed, sum(l_linenumber)::BIGINT AS chases, avg((l_returnflag = 'A')::INT) AS limit_share FROM lineitem GROUP BY 1",
+q("execution_summary", "SELECT 'V' || (l_suppkey % 4) AS venue, count(*) FILTER (l_partkey % 3 = 0) AS active, count(*) FILTER (l_partkey % 3 = 1) AS completed, count(*) FILTER (l_partkey % 3 = 2) AS failed, sum(l_linenumber)::BIGINT AS chases, count(*) FILTER (l_linestatus = 'F') AS fallbacks, coalesce(count(*) FILTER (l_returnflag = 'A') / nullif(count(*) FILTER (l_returnflag IN ('A', 'N')), 0), 1)::DOUBLE AS limit_share FROM lineitem GROUP BY 1",
   lambda s, sf: P.execution_summary(executions(s, sf)), ["limit_share"], "WITH d AS (SELECT 1)")
 q("account_snapshot", "SELECT s_nationkey AS account, count(*) FILTER (s_acctbal > 0) AS longs, count(*) FILTER (s_acctbal < 0) AS shorts, sum(abs(s_acctbal)) AS gross, sum(s_acctbal) AS net FROM supplier GROUP BY 1",
   lambda s, sf: P.account_snapshot(table(s, sf, "supplier").select(F.col("s_nationkey").alias("account"), F.col("s_acctbal").alias("value")), "account"), ["gross", "net"], "WITH d AS (SELECT 1)")
@@ -286,4 +287,4 @@ SELECT instrument_id, ts, coalesce("close" > top AND volume > most AND "close" >
   coalesce(sum(under) OVER e >= 3 AND count(*) OVER e = 3, false)::INT::DOUBLE AS exit_long, coalesce(sum(over) OVER e >= 3 AND count(*) OVER e = 3, false)::INT::DOUBLE AS exit_short
 FROM x WINDOW e AS (PARTITION BY instrument_id ORDER BY bar ROWS 2 PRECEDING)""")
 q("factor_set_coverage", "SELECT factor, count(*) AS n FROM vals GROUP BY 1 HAVING count(*) >= 0.9 * (SELECT count(*) FROM panel)",
-  lambda s, sf: values(s, sf).groupBy("factor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 0.9 * panel(s, sf, "month").agg(F.count(F.lit(1))).scalar()))
+  lambda s, sf: covered(values(s, sf), panel(s, sf, "month").agg(F.count(F.lit(1))).scalar()))

@@ -86,6 +86,11 @@ q("outlier_filter", (f""", st AS (SELECT {S}, avg(fwd_ret) m, stddev_samp(fwd_re
   kept AS (SELECT p.*, n FROM pairs p JOIN st USING ({S}) WHERE abs(fwd_ret - m) <= 2.0 * s)""",
   f"SELECT {S}, ts, instrument_id, value, fwd_ret, loss, loss > 0.04 AS lost_too_much FROM kept JOIN (SELECT {S}, 1 - count(*) / max(n)::DOUBLE AS loss FROM kept GROUP BY 1, 2) USING ({S}) "),
   lambda s, sf: Q.drop_outliers(pairs(s, sf), 2.0, 0.04), ["value", "fwd_ret", "loss"])
+q("outlier_filter_with_join_losses", (f""", st AS (SELECT {S}, avg(fwd_ret) m, stddev_samp(fwd_ret) s FROM pairs GROUP BY 1, 2), al AS (SELECT factor, count(*) AS n FROM vals GROUP BY 1),
+  kept AS (SELECT p.*, n FROM pairs p JOIN st USING ({S}) JOIN al USING (factor) WHERE abs(fwd_ret - m) <= 2.0 * s)""",
+  f"SELECT {S}, count(*) AS n, 1 - count(*) / max(n)::DOUBLE AS loss, 1 - count(*) / max(n)::DOUBLE > 0.06 AS lost_too_much FROM kept GROUP BY 1, 2"),
+  lambda s, sf: Q.drop_outliers(pairs(s, sf), 2.0, 0.06, values(s, sf).groupBy("factor").agg(F.count("value").alias("n"))).groupBy("factor", "horizon")
+  .agg(F.count(F.lit(1)).alias("n"), F.max("loss").alias("loss"), F.bool_or("lost_too_much").alias("lost_too_much")), ["loss"])
 q("quantile_buckets", (BUCKETS, "SELECT * FROM bucketed"), lambda s, sf: bucketed(s, sf), ["value", "fwd_ret"])
 q("ic_common_ranks", (IC, "SELECT * FROM ic"), ic, ["ic"])
 q("ic_own_ranks", ("", f"""SELECT ts, factor, horizon, CASE WHEN count(*) >= 5 THEN {corr('a', 'b')} END AS ic FROM (

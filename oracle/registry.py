@@ -197,6 +197,13 @@ FOLDS = IC + AXIS + """, fs AS (SELECT bars, bars - floor(bars * 0.1::DOUBLE) AS
 q("walk_forward_icir", (FOLDS, "SELECT * FROM ft"), lambda s, sf: R.fold_icir(ic(s, sf), axis(s, sf), fold_table(s, sf)), ["icir", "ic_mean"], BASE)
 
 
+HELD = IC.replace("ic AS MATERIALIZED", "ic0 AS MATERIALIZED") + FOLDS[len(IC):].split(",\n  pf AS")[0] + """,
+  ic AS MATERIALIZED (SELECT ic0.* FROM ic0 JOIN axis2 USING (ts) JOIN fd ON fold = -1 AND bar >= lo AND bar < hi WHERE ic IS NOT NULL)""" + Q.NW[len(IC):]
+q("holdout_metrics", (HELD, f"""SELECT factor, horizon, m AS ic_mean, sqrt(g0 * n / (n - 1)) AS ic_std, CASE WHEN n >= 10 THEN m / sqrt(g0 * n / (n - 1)) END AS icir, n, m / sqrt(v / n) AS nw_t,
+  {Q.tail('m / sqrt(v / n)', 'greatest(n_eff - 1, 1)')} AS nw_p, n_eff FROM nwt"""),
+  lambda s, sf: R.holdout_metrics(ic(s, sf), axis(s, sf), fold_table(s, sf)), ["ic_mean", "ic_std", "icir", "nw_t", "nw_p"], BASE)
+
+
 def grid_ic(spark, sf):
     grid = FactorSet({}, {f"n{n:02d}": (lambda o, n=n: o.close / o.ts_mean(o.close, n) - 1) for n in (3, 4, 5, 6, 8)})
     from barley.plans import quality as P
@@ -204,6 +211,13 @@ def grid_ic(spark, sf):
     return R.fold_icir(P.information(grid.long(p), P.forward_returns(p, [1])), axis(spark, sf), fold_table(spark, sf))
 
 
+def lattice(spark, sf):
+    """Metrics of the registry as a lattice: hours of the period and the run are the parameters, the mean ICIR over factors the value."""
+    hours = F.regexp_extract("period", r"^([0-9]+)", 1).cast("int")
+    return metrics(spark, sf).groupBy(F.lit(1).alias("horizon"), hours.alias("n"), F.col("created").cast("int").alias("run")).agg(F.avg("icir").alias("icir"))
+
+
+LATTICE = ", lat AS (SELECT 1 AS horizon, regexp_extract(period, '^([0-9]+)', 1)::INT AS n, created::INT AS run, avg(icir) AS icir FROM met GROUP BY 1, 2, 3)"
 _gs = FactorSet({}, {f"n{n:02d}": (lambda o, n=n: o.close / o.ts_mean(o.close, n) - 1) for n in (3, 4, 5, 6, 8)})
 _gc, _go = factor_sql(_gs, FIELDS)
 GRID = panel_sql("month") + ",\n" + ",\n".join(_gc) + ", gw AS MATERIALIZED (SELECT instrument_id, ts, bar, " + ", ".join(f"{e} AS {n}" for n, e in _go.items()) + f""" FROM cells),
@@ -214,6 +228,10 @@ GRID = panel_sql("month") + ",\n" + ",\n".join(_gc) + ", gw AS MATERIALIZED (SEL
 q("parameter_grid", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY abs(icir) DESC NULLS LAST, factor)::INT AS place FROM gm) WHERE place <= 3", lambda s, sf: R.grid_best(grid_ic(s, sf), 3), ["icir"], GRID)
 q("neighbour_stability", "SELECT factor, horizon, icir, place, least(abs(lag(icir) OVER w), abs(lead(icir) OVER w)) / abs(icir) AS stability FROM (SELECT *, row_number() OVER (ORDER BY abs(icir) DESC NULLS LAST, factor)::INT AS place FROM gm) WINDOW w AS (ORDER BY factor)",
   lambda s, sf: R.stability(R.grid_best(grid_ic(s, sf), 99), "factor"), ["icir", "stability"], GRID)
+q("lattice_stability", """SELECT a.horizon, a.n::INT AS n, a.run::INT AS run, a.icir, CASE WHEN min(abs(b.icir)) IS NULL THEN 1 ELSE min(abs(b.icir)) / abs(a.icir) END AS stability
+  FROM (SELECT *, dense_rank() OVER (ORDER BY n) AS pn, dense_rank() OVER (ORDER BY run) AS pr FROM lat) a
+  LEFT JOIN (SELECT *, dense_rank() OVER (ORDER BY n) AS pn, dense_rank() OVER (ORDER BY run) AS pr FROM lat) b ON b.horizon = a.horizon AND abs(a.pn - b.pn) + abs(a.pr - b.pr) = 1 GROUP BY 1, 2, 3, 4""",
+  lambda s, sf: R.lattice_stability(lattice(s, sf), ["n", "run"]), ["icir", "stability"], REG + LATTICE)
 q("p_value_correction", "SELECT factor_id, period, p_nw, least(1, p_nw * 12) AS p_adjusted FROM lastrun", lambda s, sf: R.corrected(R.latest_run(metrics(s, sf)), 12, "p_nw").select("factor_id", "period", "p_nw", "p_adjusted"), ["p_nw", "p_adjusted"])
 q("eligibility", """SELECT factor_id, count(*) AS periods FROM (SELECT *, row_number() OVER (PARTITION BY factor_id, period ORDER BY created DESC) AS rn FROM met) WHERE rn = 1
   AND abs(icir) >= 0.001 AND abs(t_nw) >= 0.05 AND p_nw <= 0.6 AND (win_rate > 0.5 OR win_rate < 0.495) AND linearity >= 0.02 AND coverage >= 0.3 AND n >= 3 GROUP BY 1""", lambda s, sf: R.eligible(metrics(s, sf), LIMITS))
