@@ -135,51 +135,45 @@ def scores(valid: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
 
 
 # ---- duplicates
-#: open edges that one task finishes by a plain walk
-SMALL_REST = 200_000
-
-
 def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Walk nodes in the order of ``place`` and keep each that has no kept neighbour before it; with ``kept``.
 
     The walk is done in rounds over the whole graph: a node is kept once all its earlier neighbours are dropped, and dropped once one of them
-    is kept. There are as many rounds as it takes; once at most ``SMALL_REST`` edges between undecided nodes are left (a long chain of
-    neighbours, say), one task walks these. ``nodes(id, place, fixed)``; fixed nodes are kept from the start.
+    is kept. A node that waits for a single earlier neighbour is the opposite of it, whatever that will be: such nodes point to what they wait for, and
+    in each round pointers to pointers become one pointer, so that a chain of n nodes takes log n rounds.
+    ``nodes(id, place, fixed)``; fixed nodes are kept from the start.
     """
     e = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     p = nodes.select("id", "place", "fixed")
     before = (e.join(p.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("fixed").alias("fa")), "a")
               .join(p.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("fixed").alias("fb")), "b")
-              .where((~F.col("fa")) & (F.col("fb") | (F.col("pb") < F.col("pa")))).select("a", "b", "pa"))
+              .where((~F.col("fa")) & (F.col("fb") | (F.col("pb") < F.col("pa")))).select("a", "b"))
     before = cut_lineage(before)
-    state = cut_lineage(p.withColumn("kept", F.when(F.col("fixed"), F.lit(True))))
+    waits = before.select("a").distinct()
+    state = p.join(waits, p["id"] == waits["a"], "left").select("id", "place", "fixed", F.when(F.col("a").isNull() | F.col("fixed"), F.lit(True)).alias("kept"))
+    state = cut_lineage(state)
+    links, waiting = None, before   # (a, b, same): an open node and whether it will be as its target or its opposite
     while True:
-        seen = before.join(state.select(F.col("id").alias("b"), "kept"), "b").groupBy("a").agg(
-            F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"))
-        nxt = state.join(seen, state["id"] == seen["a"], "left").select(
-            "id", "place", "fixed", F.coalesce(
-                state["kept"], F.when(F.col("hit"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))).alias("kept"))
-        state = cut_lineage(nxt)
-        undecided = state.where("kept IS NULL").select("id")
-        if undecided.limit(1).isEmpty():
+        known = state.where("kept IS NOT NULL").select(F.col("id").alias("b"), "kept")
+        met = waiting.join(known, "b", "left")
+        seen = met.groupBy("a").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"),
+                                    F.max(F.when(F.col("kept").isNull(), F.col("b"))).alias("b"))
+        told = seen.where("hit OR open = 0").select("a", (~F.col("hit")).alias("told"))
+        if links is not None:
+            # pointers reach what is known, some rounds ahead of the edges
+            reached = links.join(known, "b").select("a", (F.col("kept") == F.col("same")).alias("told"))
+            told = told.unionByName(reached.join(told.select("a"), "a", "left_anti"))
+        state = cut_lineage(state.join(told, state["id"] == told["a"], "left").select("id", "place", "fixed", F.coalesce("kept", "told").alias("kept")))
+        open_ = state.where("kept IS NULL").select(F.col("id").alias("a"))
+        if open_.isEmpty():
             return state
-        # what has a kept neighbour is as good as dropped; only edges between the others are left
-        lost = before.join(state.where("kept").select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        undecided = undecided.join(lost, "id", "left_anti")
-        rest = before.join(undecided.withColumnRenamed("id", "b"), "b", "left_semi").join(undecided.withColumnRenamed("id", "a"), "a", "left_semi")
-        if rest.limit(SMALL_REST + 1).count() <= SMALL_REST:
-            walked = rest.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_walk, f"id {dict(state.dtypes)['id']}, chosen boolean")
-            done = state.join(walked, "id", "left").join(lost.withColumn("hit", F.lit(True)), "id", "left")
-            return done.select("id", "place", "fixed", F.coalesce("kept", F.when(F.col("hit"), F.lit(False)), "chosen", F.lit(True)).alias("kept"))
-
-
-def _walk(edges: pd.DataFrame) -> pd.DataFrame:
-    """The plain walk over edges that lead to an earlier node. Nodes that are only reached have no earlier neighbour and are kept."""
-    earlier, place = edges.groupby("a")["b"].agg(list), edges.groupby("a")["pa"].first()
-    chosen: dict = {}
-    for node in place.sort_values(kind="stable").index:
-        chosen[node] = not any(chosen.get(b, True) for b in earlier[node])
-    return pd.DataFrame({"id": list(chosen), "chosen": list(chosen.values())})
+        single = seen.where("NOT hit AND open = 1").select("a", "b", F.lit(False).alias("same")).join(open_, "a", "left_semi")
+        links = single if links is None else links.join(open_, "a", "left_semi").unionByName(single.join(links.select("a"), "a", "left_anti"))
+        for _ in range(2):
+            further = links.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("same").alias("also"))
+            links = links.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.when(F.col("c").isNull(), F.col("same")).otherwise(F.col("same") == F.col("also")).alias("same"))
+        links = cut_lineage(links)
+        waiting = before.join(open_, "a", "left_semi")
 
 
 def near_duplicates(table: DataFrame, columns: list[str], tolerance: float = 1e-4, crowd: int = 64) -> DataFrame:

@@ -117,15 +117,25 @@ def test_fixed_weights_need_all_factors(spark):
     assert got == {"a": pytest.approx(-1 - 0.5 ** 0.5), "b": pytest.approx(0.5 ** 0.5), "c": None}
 
 
-@pytest.mark.parametrize("small", (200_000, 20))
-def test_greedy_walks_long_chains(spark, monkeypatch, small):
-    """A path of 200 nodes, finished in one pass or, for a shorter one, in rounds until the rest is small."""
-    monkeypatch.setattr(R, "SMALL_REST", small)
-    n = 200 if small > 20 else 28
-    nodes = spark.createDataFrame([(f"{i:03d}", i, False) for i in range(n)], "id string, place int, fixed boolean")
-    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(n - 1)], "a string, b string")
-    got = {r.id: r.kept for r in R.greedy(nodes, edges).collect()}
-    assert got == {f"{i:03d}": i % 2 == 0 for i in range(n)}
+def test_greedy_walks_long_chains(spark, monkeypatch):
+    """A chain of 600 nodes in a few rounds, with a branch that waits for two of them."""
+    n, cuts = 600, []
+    cut = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    nodes = spark.createDataFrame([(f"n{i:04d}", i, i == 301) for i in range(n)] + [("x", n, False), ("y", n + 1, False)], "id string, place int, fixed boolean")
+    pairs = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(n - 1)] + [("x", "n0299"), ("x", "n0598"), ("y", "x"), ("y", "n0001")]
+    before, kept = {}, {"n0301": True}
+    order = {f"n{i:04d}": i for i in range(n)} | {"x": n, "y": n + 1}
+    for a, b in pairs:
+        for u, v in ((a, b), (b, a)):
+            if u != "n0301" and (v == "n0301" or order[v] < order[u]):
+                before.setdefault(u, []).append(v)
+    for node in sorted(order, key=order.get):
+        if node not in kept:
+            kept[node] = not any(kept[v] for v in before.get(node, []))
+    got = {r.id: r.kept for r in R.greedy(nodes, spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == kept and len(cuts) <= 2 + 2 * 9
+
 
 
 def test_near_duplicates_on_eight_columns_with_nulls(spark):
