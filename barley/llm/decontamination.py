@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barley.llm.shared import Carried, stash
+from barley.llm.shared import Carried, give_back, stash
 
 WINDOW = 10
 
@@ -159,6 +159,7 @@ def _search(batches: Iterator[pa.RecordBatch], tables, with_text: bool) -> Itera
             own = [c for c in part.schema.names if c != "text" or with_text]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(spans, _SPANS),
                                               pa.array(items, pa.list_(pa.string()))], [*own, "n_words", "spans", "items"])
+    give_back()
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:

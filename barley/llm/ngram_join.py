@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barley.llm.components import components
-from barley.llm.shared import stash
+from barley.llm.shared import drop, give_back, stash
 from barley.llm.words import chunks, lower_ascii, mix, prefix_sums, run_hash, signed
 
 CELLS = 1 << 21
@@ -106,16 +106,17 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
 
     keys = stash(rows.where("id is not null and text is not null").mapInArrow(
         _keys(words, percent, x, order), "whole bigint, n int, key bigint, place int, subset int"), "keys")
-    near = _light(keys.where("subset > 0"), percent)
+    near = stash(_light(keys.where("subset > 0"), percent), "light")
     heavy = keys.where("subset = 0").select("whole", "n", "key", "place")
     several = stash(heavy.groupBy("key").agg(F.min("whole").alias("l"), F.max("whole").alias("h")).where("l < h").select("key"), "several")
-    lists = stash(heavy.join(several, "key", "left_semi").distinct(), "lists")
+    band = F.floor(F.log("n") / float(np.log(100 / percent)))
+    lists = stash(heavy.join(several, "key", "left_semi").distinct().withColumn("band", band), "lists")
+    drop(keys)
 
     # rows of one id hang together, whatever they hold
     same = full.groupBy("id").agg(F.min("whole").alias("a"), F.max("whole").alias("h")).where("a < h").select("id", "a")
     near = near.unionByName(full.join(same, "id").where("whole <> a").select("a", F.col("whole").alias("b")))
 
-    lists = stash(lists.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)))), "banded")
     # members that all others of a list meet: a group whose sets just reach the similarity is then seldom left in many parts
     turned = F.col("whole").bitwiseXOR(F.lit(TURN))
     met = F.array(F.min_by("whole", "place"), F.min("whole"), F.max("whole"), F.min(turned).bitwiseXOR(F.lit(TURN)))
@@ -127,6 +128,7 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
         grouped = stash(lists.join(groups, "whole", "left").withColumn("component", F.coalesce("component", "whole")), "grouped")
         mixed = stash(grouped.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "mixed")
         open_ = stash(grouped.join(mixed, "key", "left_semi"), "open")
+        drop(grouped)
         # another round costs two comparisons a member, the last step all pairs of different components
         parts = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         cost = parts.agg(F.sum("n").alias("members"), F.sum(((F.col("n") * F.col("n") - F.col("own")) / 2).cast("double")).alias("pairs")).first()
@@ -192,7 +194,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
     # one row of each class: a task gives a class once, and of the tasks the first counts
     sets = made.join(made.groupBy("whole").agg(F.min("part").alias("part")), ["whole", "part"]).drop("part")
     a, b = (sets.select(F.col("whole").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-    return possible.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compare(percent), "a bigint, b bigint")
+    near = stash(possible.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compare(percent), "a bigint, b bigint"), "near")
+    drop(made, possible)
+    return near
 
 
 def _shingles(c, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,6 +248,7 @@ def _sets(words: int):
             if len(own):
                 yield rows(len(own), item=pa.array(own))
         yield rows(1, held=pa.array([held]), different=pa.array([different]))
+        give_back()
     return run
 
 
@@ -285,6 +290,7 @@ def _keys(words: int, percent: int, x: int, order):
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names)
+        give_back()
     return run
 
 
@@ -312,6 +318,7 @@ def _whole_sets(words: int, asked):
                     found.append((whole, data[i:j]))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([part] * len(found), pa.int32()),
                                               pa.array([x for _, x in found], pa.binary())], ["whole", "part", "items"])
+        give_back()
     return run
 
 
@@ -331,6 +338,7 @@ def _compare(percent: int):
                 overlap = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
     return run
 
 

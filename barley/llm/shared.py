@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once.
 
-    The folder is the cluster's scratch space; its owner clears it.
+    The folder is the cluster's scratch space; its owner clears what ``drop`` has not.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stashed = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stashed tables of which nothing will be read again: all that was made from them is written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stashed)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """At the end of a pass over large texts, return what a worker no longer uses to the machine: workers live on beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):   # elsewhere than on Linux the allocator has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barley.llm.shared import Carried, stash
+from barley.llm.shared import Carried, give_back, stash
 
 MOST_ROWS = 6_000
 MOST_TERMS = 4_000
@@ -290,6 +290,8 @@ def _score(batches: Iterator[pa.RecordBatch], spread, with_text: bool) -> Iterat
             score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             own = [c for c in part.schema.names if c != "text" or with_text]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(score)], [*own, "score"])
+    del seen
+    give_back()
 
 
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
