@@ -32,12 +32,30 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stashed = path
     return table
 
 
+#: Arrow batches on their way to Python workers, so that long texts and large sets do not fill workers and the buffers of their executor
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of a bounded size for the jobs that run inside; the session's own settings hold again afterwards."""
+    before = {key: spark.conf.get(key) for key in BATCHES}
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete stashed tables of which nothing will be read again: all that was made from them is written."""
     for table in tables:
