@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barley.operators import OPERATORS, FactorSet
 from barley.sources.panel import densify
@@ -106,3 +107,30 @@ def test_one_exchange_for_all_rolling_columns(panel):
     many = FactorSet({}, {f"m{n}": (lambda o, n=n: o.ts_mean(o.delta(o.close, 1), n)) for n in range(2, 12)})
     plan = many.evaluate(panel)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning") == 1  # above the cached panel
+
+
+def broadcast_rows(spark):
+    """Rows of each table that the last query broadcast."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    number = runs.apply(runs.size() - 1).executionId()
+    nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+    for node in (nodes.apply(i) for i in range(nodes.size())):
+        if node.name() == "BroadcastExchange":
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    yield int(values.apply(m.accumulatorId()).replace(",", ""))
+
+
+def test_densify_broadcasts_no_cells(spark):
+    # 300 instruments with one or two of three bars: 900 cells, from runs of 4,096 bar numbers each
+    rows = [(f"i{i}", k % 3, float(i)) for i in range(300) for k in (i, i + i % 2)]
+    bars = spark.createDataFrame(sorted(set(rows)), "instrument_id string, k int, close double")
+    bars = bars.select("instrument_id", F.timestamp_seconds(F.col("k") * 604800).alias("ts"), "close")
+    panel = densify(bars)
+    out = panel.collect()
+    assert max(broadcast_rows(spark)) <= 450   # the bars themselves
+    known = {(i, k): x for i, k, x in rows}
+    assert {(r.instrument_id, r.bar): r.close for r in out} == {(f"i{i}", k): known.get((f"i{i}", k)) for i in range(300) for k in range(3)}
+    assert len(out) == 900
