@@ -160,3 +160,20 @@ def test_registry_averages_do_not_depend_on_the_order_of_lines(spark, tmp_path):
         spark.createDataFrame(lines[4 * k:4 * k + 4], names).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
     got = [registry.metrics(spark, f"{tmp_path}/{k}").first() for k in range(3)]
     assert got[0] == got[1] == got[2] and got[0].p_nw == 0.6
+
+
+def test_report_and_repair_log_make_the_bars_once(spark):
+    rows = [("a", d, s, 1.0, 2.0, 0.5, 1.5, v) for d, s, v in ((0, 1, 1.0), (0, 2, 1.0), (7, 3, -1.0), (21, 5, 1.0), (63, 4, 1.0))]
+    for made in (lambda raw: validate.report(raw, 604800, 2), lambda raw: validate.repair_log(raw, 604800, 3)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(row, seen=seen):
+            seen.add(1)
+            return row
+
+        names = "instrument_id string, day int, seq long, open double, high double, low double, close double, volume double"
+        raw = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), names)
+        raw = raw.withColumn("ts", F.timestamp_seconds(F.col("day") * 86400)).drop("day")
+        got = {r[0] if "passed" in r else r.action: r["count"] for r in made(raw).collect()}
+        assert seen.value == len(rows)
+        assert got in ({"schema": 0, "duplicate": 1, "gap_error": 1, "gap_warning": 1, "order": 2, "value": 1}, {"drop_duplicate": 1, "fill": 1, "drop_invalid": 1})
