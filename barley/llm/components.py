@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barley.llm.shared import stash
+from barley.llm.shared import drop, few, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,17 +13,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: each node's larger neighbours move to its smallest neighbour, then each node and its smaller
     neighbours do. The number of links never grows and the rounds are logarithmic in the longest chain. Minima are partial sums, and the
-    joins that hand them back may split a node with many neighbours. Each round is written to the shared folder.
+    joins that hand them back may split a node with many neighbours. Each round is written to the shared folder, and takes few tasks where few
+    links are left.
     """
-    links = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = stash(few(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), links.count()), "links")
     before = _state(links)
     while before[0]:
+        n, last = 2 * before[0], links
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = stash(small.where("a <> b").distinct(), "links")
+        least = few(both.groupBy("a").agg(F.min("b").alias("m")), n).select("a", F.least("a", "m").alias("m"))
+        large = few(both.join(least, "a"), n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = few(large.distinct(), n)
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")), n)
+        small = few(large.join(least, "a"), n).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        links = stash(few(small.where("a <> b").distinct(), n), "links")
+        drop(last)
         after = _state(links)
         if after == before:
             break

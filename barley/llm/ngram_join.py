@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barley.llm.components import components
-from barley.llm.shared import drop, give_back, stash
+from barley.llm.shared import drop, few, give_back, stash
 from barley.llm.words import chunks, lower_ascii, mix, prefix_sums, run_hash, signed
 
 CELLS = 1 << 21
@@ -93,10 +93,10 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
     seen = stash(rows.mapInArrow(_sets(words), "id bigint, n int, whole bigint, counts binary, item bigint, held bigint, different bigint"), "sets")
     docs = seen.where("item is null and held is null").select("id", "n", "whole", "counts")
     full = docs.where("id is not null and n > 0")
-    classes = stash(full.groupBy("whole").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("counts").alias("counts")), "classes")
+    total = seen.agg(F.sum("held").alias("held"), F.sum("different").alias("different"), F.count("n").alias("docs")).first()
+    classes = stash(few(full.groupBy("whole").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("counts").alias("counts")), total.docs), "classes")
 
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
-    total = seen.agg(F.sum("held").alias("held"), F.sum("different").alias("different")).first()
     x = boundary(sizes, (total.held or 1) / (total.different or 1), percent)
     often = seen.where("item is not null").groupBy("item").count().where("count > 1")
     often = often.groupBy(F.expr(f"item & {CELLS - 1}").cast("int").alias("cell")).agg(F.sum("count").alias("n")).toArrow()
@@ -106,62 +106,71 @@ def similar_components(df: DataFrame, words: int = 4, percent: int = 85, id_colu
 
     keys = stash(rows.where("id is not null and text is not null").mapInArrow(
         _keys(words, percent, x, order), "whole bigint, n int, key bigint, place int, subset int"), "keys")
-    near = stash(_light(keys.where("subset > 0"), percent), "light")
+    listed = keys.count()
+    near = stash(_light(keys.where("subset > 0"), percent, listed), "light")
     heavy = keys.where("subset = 0").select("whole", "n", "key", "place")
-    several = stash(heavy.groupBy("key").agg(F.min("whole").alias("l"), F.max("whole").alias("h")).where("l < h").select("key"), "several")
+    several = stash(few(heavy.groupBy("key").agg(F.min("whole").alias("l"), F.max("whole").alias("h")), listed).where("l < h").select("key"), "several")
     band = F.floor(F.log("n") / float(np.log(100 / percent)))
-    lists = stash(heavy.join(several, "key", "left_semi").distinct().withColumn("band", band), "lists")
-    drop(keys)
+    lists = stash(few(few(heavy.join(several, "key", "left_semi"), listed).distinct(), listed).withColumn("band", band), "lists")
+    drop(keys, several)
+    # what is made from the lists and the classes takes as many tasks as the larger of the two needs
+    size = max(lists.count(), total.docs)
 
     # rows of one id hang together, whatever they hold
-    same = full.groupBy("id").agg(F.min("whole").alias("a"), F.max("whole").alias("h")).where("a < h").select("id", "a")
-    near = near.unionByName(full.join(same, "id").where("whole <> a").select("a", F.col("whole").alias("b")))
+    same = few(full.groupBy("id").agg(F.min("whole").alias("a"), F.max("whole").alias("h")), total.docs).where("a < h").select("id", "a")
+    near = near.unionByName(few(full.join(same, "id"), total.docs).where("whole <> a").select("a", F.col("whole").alias("b")))
 
     # members that all others of a list meet: a group whose sets just reach the similarity is then seldom left in many parts
     turned = F.col("whole").bitwiseXOR(F.lit(TURN))
-    met = F.array(F.min_by("whole", "place"), F.min("whole"), F.max("whole"), F.min(turned).bitwiseXOR(F.lit(TURN)))
-    rays = lists.join(stash(lists.groupBy("key", "band").agg(met.alias("met")), "firsts"), ["key", "band"]).select("whole", F.explode("met").alias("other"))
-    done = stash(_pairs(rays), "stars")
-    near = stash(near.unionByName(_verified(done, classes, rows, words, percent)), "near")
+    met = F.array(F.min_by("whole", F.struct("place", "whole")), F.min("whole"), F.max("whole"), F.min(turned).bitwiseXOR(F.lit(TURN)))
+    firsts = stash(few(lists.groupBy("key", "band").agg(met.alias("met")), size), "firsts")
+    rays = few(lists.join(firsts, ["key", "band"]), size).select("whole", F.explode("met").alias("other"))
+    done = stash(few(_pairs(rays), size), "stars")
+    near = stash(near.unionByName(_verified(done, classes, rows, words, percent, size)), "near")
+    drop(firsts)
     while True:
         groups = components(near).withColumnRenamed("id", "whole")
-        grouped = stash(lists.join(groups, "whole", "left").withColumn("component", F.coalesce("component", "whole")), "grouped")
-        mixed = stash(grouped.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key"), "mixed")
-        open_ = stash(grouped.join(mixed, "key", "left_semi"), "open")
-        drop(grouped)
-        # another round costs two comparisons a member, the last step all pairs of different components
-        parts = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        # from here on the components stand for the links that made them
+        near = groups.where("whole <> component").select(F.col("whole").alias("a"), F.col("component").alias("b"))
+        grouped = stash(few(lists.join(groups, "whole", "left"), size).withColumn("component", F.coalesce("component", "whole")), "grouped")
+        mixed = stash(few(grouped.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")), size).where("l < h").select("key"), "mixed")
+        open_ = stash(few(grouped.join(mixed, "key", "left_semi"), size), "open")
+        drop(grouped, mixed)
+        # another round costs two comparisons a member, the last step all pairs of different components; up to the size of the input these cost less than a round's jobs
+        parts = few(open_.groupBy("key", "component").agg(F.count("*").alias("n")), size)
+        parts = few(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")), size)
         cost = parts.agg(F.sum("n").alias("members"), F.sum(((F.col("n") * F.col("n") - F.col("own")) / 2).cast("double")).alias("pairs")).first()
-        if (cost.pairs or 0) <= 2 * ROUND * (cost.members or 0):
+        if (cost.pairs or 0) <= max(2 * ROUND * (cost.members or 0), size):
             break
-        middle = open_.groupBy("key", "band", "component").agg(F.min_by("whole", "place").alias("middle"))
-        ends = middle.groupBy("key", "band").agg(F.min_by("middle", "component").alias("x"), F.max_by("middle", "component").alias("y")).where("x <> y")
+        middle = few(open_.groupBy("key", "band", "component").agg(F.min_by("whole", F.struct("place", "whole")).alias("middle")), size)
+        ends = few(middle.groupBy("key", "band").agg(F.min_by("middle", "component").alias("x"), F.max_by("middle", "component").alias("y")), size).where("x <> y")
         # a middle set may lie in the next band of sizes
         ends = ends.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "x", "y")
-        rays = open_.join(stash(ends, "ends"), ["key", "band"]).select("whole", F.explode(F.array("x", "y")).alias("other"))
-        fresh = stash(_pairs(rays).join(done, ["a", "b"], "left_anti"), "fresh")
-        links = stash(_verified(fresh, classes, rows, words, percent), "links") if not fresh.isEmpty() else fresh.limit(0)
+        rays = few(open_.join(stash(ends, "ends"), ["key", "band"]), size).select("whole", F.explode(F.array("x", "y")).alias("other"))
+        fresh = stash(few(few(_pairs(rays), size).join(done, ["a", "b"], "left_anti"), size), "fresh")
+        links = _verified(fresh, classes, rows, words, percent, size)
         done = done.unionByName(fresh)
         if links.isEmpty():
             break
-        near = stash(near.unionByName(links), "near")
+        near = near.unionByName(links)
 
     other = open_.select("key", *[F.col(c).alias(f"{c}2") for c in ("whole", "n", "place", "component")])
     # different components, sizes that can link, and enough shingles left from here on, were this the first that both hold
     left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     fits = ((F.col("component") < F.col("component2")) & (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))
             & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2"))))
+    # members of a list may meet in many pairs: these are dealt to all tasks, and counted when they are written
     pairs = _pairs(open_.join(other, (open_.key == other.key) & fits).select("whole", F.col("whole2").alias("other")))
     rest = stash(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    groups = components(near.unionByName(_verified(rest, classes, rows, words, percent)))
+    groups = components(near.unionByName(_verified(rest, classes, rows, words, percent, max(size, rest.count()))))
 
     # the smallest document of each component, then of each class
-    linked = classes.select(F.col("whole").alias("id"), "first").join(groups, "id")
-    least = stash(linked.groupBy("component").agg(F.min("first").alias("least")), "least")
-    label = stash(classes.select("whole", "first").join(linked.join(least, "component").select(F.col("id").alias("whole"), "least"), "whole", "left")
-                  .select("whole", F.coalesce("least", "first").alias("c")), "label")
+    linked = stash(few(classes.select(F.col("whole").alias("id"), "first").join(groups, "id"), total.docs), "linked")
+    least = stash(few(linked.groupBy("component").agg(F.min("first").alias("least")), total.docs), "least")
+    named = few(linked.join(least, "component"), total.docs).select(F.col("id").alias("whole"), "least")
+    label = stash(few(classes.select("whole", "first").join(named, "whole", "left"), total.docs).select("whole", F.coalesce("least", "first").alias("c")), "label")
     # an empty set is its own component
-    return docs.join(label, "whole", "left").select(
+    return few(docs.join(label, "whole", "left"), total.docs).select(
         F.col("id").cast(df.schema[id_column].dataType).alias(id_column), F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id"))).alias("component_id"))
 
@@ -170,31 +179,44 @@ def _pairs(rays: DataFrame) -> DataFrame:
     return rays.where("whole <> other").select(F.least("whole", "other").alias("a"), F.greatest("whole", "other").alias("b")).distinct()
 
 
-def _light(keys: DataFrame, percent: int) -> DataFrame:
-    """Links of light sets: in each list the smallest set with all that fit it."""
-    least = keys.groupBy("key").agg(F.min(F.struct("n", "whole")).alias("m"), F.max("whole").alias("h"), F.min("whole").alias("l")).where("l < h")
-    met = keys.join(stash(least.select("key", "m"), "least"), "key").where(
+def _light(keys: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links of light sets, from ``size`` keys: in each list the smallest set with all that fit it."""
+    least = few(keys.groupBy("key").agg(F.min(F.struct("n", "whole")).alias("m"), F.max("whole").alias("h"), F.min("whole").alias("l")), size).where("l < h")
+    met = few(keys.join(stash(least.select("key", "m"), "least"), "key"), size).where(
         (F.col("whole") != F.col("m.whole")) & (percent * (F.col("n") + F.col("m.n")) <= (100 + percent) * F.col("subset")))
-    return met.select(F.least("whole", "m.whole").alias("a"), F.greatest("whole", "m.whole").alias("b")).distinct()
+    return few(met.select(F.least("whole", "m.whole").alias("a"), F.greatest("whole", "m.whole").alias("b")).distinct(), size)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+#: rows with whole sets, or with counts, that a task gets at least
+WIDE = 10_000
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int, size: int) -> DataFrame:
     """The pairs of classes whose sets reach the similarity, after the bound of the counts. Sets are made anew from the texts of first documents, and
-    those that the filter shows not to be asked for go no further."""
+    those that the filter shows not to be asked for go no further. ``size``: rows of the larger of pairs' origin and classes."""
     a, b = (classes.select(F.col("whole").alias(c), F.col("first").alias(f"first_{c}"), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}")) for c in "ab")
-    possible = stash(pairs.join(a, "a").join(b, "b").mapInArrow(_bound(percent), "a bigint, b bigint, first_a bigint, first_b bigint"), "possible")
+    met = few(few(pairs.join(a, "a"), size, WIDE).join(b, "b"), size, WIDE)
+    possible = stash(met.mapInArrow(_bound(percent), "a bigint, b bigint, first_a bigint, first_b bigint"), "possible")
+    asking = 2 * possible.count()
+    if not asking:
+        return possible.select("a", "b")
     wanted = possible.select(F.explode(F.array("first_a", "first_b")).alias("id"))
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = wanted.groupBy((bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")).alias("bits")).toArrow()
+    bits = wanted.groupBy((bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")).alias("bits"))
+    bits = few(bits, asking).toArrow()
     filter_ = np.zeros(FILTER_BITS // 64, np.int64)   # a fixed size, whatever the input
     filter_[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
     asked = rows.sparkSession.sparkContext.broadcast(filter_)
     hashed = rows.where("id is not null").select("id", "text", bit.alias("bit"))
     made = stash(hashed.mapInArrow(_whole_sets(words, asked), "whole bigint, part int, items binary"), "made")
     # one row of each class: a task gives a class once, and of the tasks the first counts
-    sets = made.join(made.groupBy("whole").agg(F.min("part").alias("part")), ["whole", "part"]).drop("part")
+    held = made.count()
+    first = few(made.groupBy("whole").agg(F.min("part").alias("part")), held)
+    sets = few(made.join(first, ["whole", "part"]), held, WIDE).drop("part")
     a, b = (sets.select(F.col("whole").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-    near = stash(possible.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compare(percent), "a bigint, b bigint"), "near")
+    most = max(held, asking)
+    both = few(few(possible.select("a", "b").join(a, "a"), most, WIDE).join(b, "b"), most, WIDE)
+    near = stash(both.mapInArrow(_compare(percent), "a bigint, b bigint"), "near")
     drop(made, possible)
     return near
 
