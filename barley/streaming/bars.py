@@ -11,12 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from barley.operators import FactorSet
 from barley.operators.factorset import melt
-from barley.operators.joins import as_of, spread_one
+from barley.operators.joins import as_of, reachable, spread_one
 from barley.operators.spec import BAR, ID, TS
 from barley.plans import quality, risk
+from barley.session import dealt_over
 from barley.sources.panel import densify
 from barley.streaming.state import Carried, path_of
 
+#: cells of the panel that one task of a batch takes
+TASK_CELLS = 5_000
+#: rows of the side data that one task takes
+SIDE_ROWS = 50_000
+#: a chunk of time of the side data, in seconds
+SIDE_SPAN = 86_400
+
 
 def live_bars(ticks: DataFrame, width: str, delay: str, key: list[str] | None = None) -> DataFrame:
     """Tumbling bars of a tick stream ``(ts, instrument_id, price, size, seq)``.
@@ -50,6 +58,10 @@ class FactorStream:
 
     Folders: ``bars`` (what came), ``factors``, ``ic`` (of the values of the bar before, at each new bar) and ``risk``, by batch number. A batch
     that is run again after a failure writes the same.
+
+    A batch takes as many tasks as its panel needs, at most the session's. ``state_tasks`` is the number for the state of the stream itself, such as open bars; it is
+    fixed when the stream starts for the first time. The panel of a batch, and what it can meet of the side data, are written once, to ``panel`` and
+    ``side``, and read by all that follows.
     """
 
     factors: FactorSet
@@ -60,28 +72,48 @@ class FactorStream:
     lead: tuple[str, str, str] | None = None  # instrument, field, new field: spread to all
     refit_every: int = 0                   # batches between risk fits, 0 for none
     after: Callable[[DataFrame, int], None] | None = None
+    state_tasks: int | None = None         # the session's number of tasks where it is not given
+    tasks: int | None = field(default=None, init=False)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        most = self.tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
         batch.write.mode("overwrite").parquet(path_of(self.folder, "bars", number))   # the stream's plan runs once
         batch = spark.read.schema(batch.schema).parquet(path_of(self.folder, "bars", number))
         history, values_before = Carried(self.folder, "history"), Carried(self.folder, "last_values")
         known, published = history.before(spark, number), values_before.before(spark, number)
-        fresh = batch.dropDuplicates([TS, ID])
-        if known is not None:
-            fresh = fresh.where(F.coalesce(F.col(TS) > known.agg(F.max(TS)).scalar(), F.lit(True)))
-            if fresh.isEmpty():
-                history.keep(known, number)
-                values_before.keep(published, number)
-                return
-        known = fresh if known is None else known.unionByName(fresh)
-        # an ordered limit keeps only that many rows per task
-        first = known.select(TS).distinct().orderBy(F.desc(TS)).limit(self.history_bars).agg(F.min(TS)).scalar()
-        history.leave(known.where(F.col(TS) >= first), number)
-
-        panel, times = densify(known), fresh.select(TS).distinct()
-        if self.side is not None:
-            panel = as_of(panel, self.side, self.side_fields)
+        rows = batch.count() + (0 if known is None else known.count())
+        with dealt_over(spark, min(most, -(-rows // TASK_CELLS))):
+            fresh = batch.dropDuplicates([TS, ID])
+            if known is not None:
+                fresh = fresh.where(F.coalesce(F.col(TS) > known.agg(F.max(TS)).scalar(), F.lit(True)))
+                if fresh.isEmpty():
+                    history.keep(known, number)
+                    values_before.keep(published, number)
+                    return
+            known = fresh if known is None else known.unionByName(fresh)
+            # an ordered limit keeps only that many rows per task
+            first = known.select(TS).distinct().orderBy(F.desc(TS)).limit(self.history_bars).agg(F.min(TS)).scalar()
+            history.leave(known.where(F.col(TS) >= first), number)
+            us = F.unix_micros(F.col(TS).cast("timestamp"))
+            names, bars, low, high = known.agg(F.count_distinct(ID), F.count_distinct(TS), F.min(us), F.max(us)).first()
+        few = min(most, -(-names * bars // TASK_CELLS))
+        with dealt_over(spark, few):
+            panel = densify(known)
+            if self.side is not None:
+                low, high = (low, high) if bars else (0, 0)   # a first batch may be empty
+                side = Carried(self.folder, "side").leave(reachable(self.side, self.side_fields, low, high), number)
+        # the side is as large as it is, whatever the panel
+        with dealt_over(spark, few if self.side is None else min(most, few + side.count() // SIDE_ROWS)):
+            if self.side is not None:
+                panel = as_of(panel, side, self.side_fields, width=SIDE_SPAN)
+            panel = Carried(self.folder, "panel").leave(panel, number)
+        with dealt_over(spark, few):
+            self._follow(panel, fresh.select(TS).distinct(), published, values_before, number)
+
+    def _follow(self, panel: DataFrame, times: DataFrame, published: DataFrame | None, values_before: Carried, number: int) -> None:
+        """All that is made from the panel of a batch; ``times`` are the new ones."""
+        spark = panel.sparkSession
         if self.lead:
             panel = spread_one(panel, *self.lead)
         values = melt(self.factors.evaluate(panel), list(self.factors.factors), (TS, ID))
@@ -99,8 +131,11 @@ class FactorStream:
             self.after(panel, number)
 
     def start(self, bars: DataFrame, once: bool = False, every: str = "10 seconds") -> StreamingQuery:
+        self.tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         writer = bars.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/checkpoint")
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+        with dealt_over(bars.sparkSession, self.state_tasks or self.tasks):   # a query has its own copy of the session, made here
+            return writer.start()
 
     def published(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/factors").drop("batch")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barley.operators import FactorSet
+from barley.operators.joins import as_of, reachable
 from barley.operators.spec import ID, TS
 from barley.streaming.bars import FactorStream, SnapshotStream
 from barley.streaming.panels import flushed_panels
@@ -100,3 +101,34 @@ def test_partial_panel_comes_out_by_the_clock_once(spark, tmp_path):
         assert len(come()) == 8
     finally:
         query.stop()
+
+
+def test_side_rows_that_a_panel_can_meet_give_the_same_join(spark):
+    at = [T0 + dt.timedelta(hours=h) for h in range(12)]
+    left = spark.createDataFrame([(n, at[h]) for n in "ABC" for h in (4, 6, 9)], f"{ID} string, {TS} timestamp")
+    side = spark.createDataFrame([("A", at[1], 1.0, None), ("A", at[2], None, 2.0), ("A", at[4], 3.0, None), ("A", at[5], None, None), ("A", at[7], 4.0, 5.0),
+                                  ("A", at[11], 9.0, 9.0), ("B", at[9], 6.0, None), ("B", at[10], 7.0, 7.0)], f"{ID} string, {TS} timestamp, x double, y double")
+    low, high = left.agg(F.min(F.unix_micros(TS)), F.max(F.unix_micros(TS))).first()
+    some = reachable(side, ["x", "y"], low, high)
+    assert some.count() == 4   # one of the rows up to 4 o'clock, no row after 9 o'clock
+    want = {(r[ID], r[TS]): (r.x, r.y) for r in as_of(left, side, ["x", "y"]).collect()}
+    got = {(r[ID], r[TS]): (r.x, r.y) for r in as_of(left, some, ["x", "y"], width=3600).collect()}
+    assert got == want
+    assert [want["A", at[h]] for h in (4, 6, 9)] == [(3.0, 2.0), (3.0, 2.0), (4.0, 5.0)] and want["B", at[9]] == (6.0, None) and want["C", at[9]] == (None, None)
+
+
+@pytest.mark.parametrize("options", [{"refit_every": 1}, {"side_fields": ["rate"], "lead": ("A", "close", "lead")}])
+def test_a_small_batch_takes_few_tasks_whatever_the_session_would(spark, tmp_path, options):
+    spark.conf.set("spark.sql.shuffle.partitions", "120")
+    rows = [bar(n, h, 10.0 + (7 * h + 3 * i) % 11) for i, n in enumerate("ABCD") for h in range(6)]
+    side = spark.createDataFrame([(n, T0 + dt.timedelta(hours=h), float(h)) for n in "ABCD" for h in range(6)], f"{ID} string, {TS} timestamp, rate double")
+    stream = FactorStream(FactorSet({}, {"mean": lambda o: o.cs_rank(o.ts_mean(o.close, 3))}), str(tmp_path), side=side if "side_fields" in options else None, **options)
+    group, context = f"few-{tmp_path.name}", spark.sparkContext
+    context.setJobGroup(group, "")
+    stream(spark.createDataFrame(rows, BARS).coalesce(1), 0)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    assert max(tracker.getStageInfo(i).numTasks for i in stages if tracker.getStageInfo(i)) < 120   # the panel has 24 cells
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "120"
+    assert stream.published(spark).count() == 16
