@@ -152,3 +152,22 @@ def test_folds_count_the_bars(spark):
     got = [tuple(r) for r in R.folds(axis, 2, 0.2, 5, 0.1).orderBy("fold").collect()]
     assert got == [(-1, 0, 180, 180, 200), (0, 0, 95, 100, 140), (1, 0, 135, 140, 180)]
     assert R.folds(axis, 5, 0.2, 5, 0.1).count() == 0
+
+
+def test_bucket_edges_between_neighbouring_doubles(spark):
+    """An edge between two values a few units in the last place apart falls where the SQL's does."""
+    import duckdb
+    import numpy as np
+
+    draw, rows = np.random.default_rng(5), []
+    for g in range(300):
+        x = float(draw.uniform(-1, 1))
+        for k in range(int(draw.integers(4, 12))):
+            rows.append((g, f"i{k}", x))
+            x = float(np.nextafter(x, 2.0))
+    got = {(r.g, r.i): r.bucket for r in Q.with_buckets(spark.createDataFrame(rows, "g int, i string, value double"), by=("g",)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (g INT, i VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?)", rows)
+    want = con.execute("SELECT g, i, len(list_filter(q, lambda x: x < value)) + 1 FROM p JOIN (SELECT g, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS q FROM p GROUP BY 1) USING (g)").fetchall()
+    assert {(g, i): b for g, i, b in want} == got
