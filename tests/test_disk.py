@@ -56,3 +56,15 @@ def test_rank_shares_by_group():
     groups = np.array([0, 0, 0, 0, 0, 1, 1, 1])
     assert rank_shares(groups, x) == pytest.approx([3 / 5, 4 / 5, 1 / 5, 4 / 5, 1 / 5, 1 / 3, 1 / 3, 1.0])
     assert len(rank_shares(groups[:0], x[:0])) == 0
+
+
+def test_matrix_in_blocks_equals_the_wide_one(spark):
+    from barley.sources.panel import from_matrix, to_long, to_matrix, to_wide
+
+    cells = panel(spark, 6, 40).where("k <> 7")
+    names = spark.createDataFrame([(f"i{k}",) for k in range(38)], f"{ID} string")   # two have no column, one has no bar
+    rows, labels = to_matrix(cells, "close", names, 8)
+    assert labels.count() > 1 and rows.count() == 6 * labels.count() and {len(r.cells) - len(r.names) for r in rows.join(labels, "block").collect()} == {0}
+    back = {tuple(r) for r in from_matrix(rows, labels, "close").select(TS, ID, "close").collect()}
+    wide = to_wide(cells, "close", [f"i{k}" for k in range(38)])
+    assert back == {tuple(r) for r in to_long(wide, "close").select(TS, ID, "close").collect()}
